@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, quality, tokenfile, topk, toxicity
+from . import chat, language, pieces, quality, tokenfile, topk, toxicity
 from .columns import held_out
 
 #: Decision thresholds of the classifiers.
@@ -33,6 +33,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), topk.quantised(F.col("embedding")).alias("v"))
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
@@ -110,7 +114,7 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity, op5_topk, op6_chat, op7_quality, op8_language, op9_token_file)}
+    return {f.__name__: f for f in (op3_toxicity, op4_pieces, op5_topk, op6_chat, op7_quality, op8_language, op9_token_file)}
 
 
 def oracle_sql() -> dict[str, str]:
