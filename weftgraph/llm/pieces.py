@@ -471,8 +471,8 @@ def _paths(enc: Encoder, text: str, p: int, q: int, state: State) -> dict[State,
     """From one state at p: the pieces that begin in this chunk, for each state at q that is reached."""
     model = enc.model
     begin = p + state.over
-    if begin > q:
-        return {}
+    if begin > q:  # the piece covers the whole chunk
+        return {State(state.piece, begin - q): []}
     a, b = word_spans(text, begin, q)
 
     def steps(begin: int, piece: int, end: int) -> dict[State, list[int]]:
