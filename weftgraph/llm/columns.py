@@ -16,14 +16,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of one Arrow batch: a batch of very long texts stays small.
-BATCH_ROWS, BATCH_BYTES = 20_000, 32 << 20
+from weftgraph.shipping import ship
 
+#: Rows of one Arrow batch; bytes are bounded besides, so a batch of very long texts stays small.
+BATCH_ROWS = 20_000
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at once, by rows and by bytes."""
+
+def bounded_batches(spark: SparkSession, mb: int = 16) -> None:
+    """Bound what a Python worker holds at once, by rows and by bytes; sends it this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
