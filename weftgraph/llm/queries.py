@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, pieces, quality, tokenfile, topk, toxicity
+from . import chat, jaccard, language, pieces, quality, tokenfile, topk, toxicity
 from .columns import held_out
 
 #: Decision thresholds of the classifiers.
@@ -113,8 +113,12 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2)
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity, op4_pieces, op5_topk, op6_chat, op7_quality, op8_language, op9_token_file)}
+    return {f.__name__: f for f in (op3_toxicity, op4_pieces, op5_topk, op6_chat, op7_quality, op8_language, op9_token_file, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
