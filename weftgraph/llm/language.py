@@ -189,7 +189,7 @@ def fit_languages(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text:
     language, and those with the smallest hashes are used, FIT_ROW_CHARS
     characters from a hashed place of each.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 6)
     rows = only(docs.withColumn("_learn", learn), doc_id=doc_id, text=text, lang=lang, learn="_learn").filter(F.col("learn") & F.col("lang").isNotNull() & F.col("text").isNotNull())
     draw = F.xxhash64("doc_id", F.lit(3))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
@@ -207,7 +207,7 @@ def fit_languages(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text:
 
 def predict_languages(docs: DataFrame, model: CrossParser, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every row."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 6)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
