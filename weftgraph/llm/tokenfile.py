@@ -24,10 +24,10 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +37,11 @@ from .columns import bounded_batches, only, per_batch, record, segment_sum, shar
 SAMPLE = 256
 #: Ids in one shard at most, unless one document has more.
 SHARD_IDS = 4 << 20
+#: The vocabulary's own pre-token pattern, and words of printable Latin-1 characters.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN = "^[!-~\u00a1-\u00ac\u00ae-\u00ff]+$"
 #: Words that a worker keeps with their ids.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 
 
 @dataclass
@@ -155,11 +158,39 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.kept: dict[str, list[int]] = {}
-
-    def __call__(self, dictionary: list[str]) -> list[list[int]]:
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.kept: dict[str, bytes] = {}
+
+    def _together(self, words: list[str], counts: np.ndarray) -> list[bytes] | None:
+        """Encode words as one text and part the ids by the words' numbers of pre-tokens."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, self.dtype)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != counts.sum() or not len(stops) or stops[-1] != len(ids):
+            return None
+        last = (stops[np.cumsum(counts) - 1] * self.dtype.itemsize).tolist()
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *last], last, strict=False)]
+
+    def _apart(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def __call__(self, dictionary: list[str]) -> list[bytes]:
+        """The ids of each word as bytes, which take far less room than lists."""
         new = [w for w in dictionary if w not in self.kept]
-        got = dict(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        got: dict[str, bytes] = {}
+        column = pa.array(new, pa.string())
+        # characters that normalisation leaves one to one, so that pre-tokens can be counted here
+        plain = pc.match_substring_regex(column, PLAIN)
+        counts = pc.count_substring_regex(column, PRE_TOKEN).to_numpy()
+        simple = plain.to_numpy(zero_copy_only=False)
+        for index, joined in ((np.flatnonzero(simple), True), (np.flatnonzero(~simple), False)):
+            for k in range(0, len(index), 4096):  # an encoding holds far more than its ids
+                some = index[k : k + 4096]
+                words_ = [new[i] for i in some.tolist()]
+                lists = self._together(words_, counts[some]) if joined else None
+                got.update(zip(words_, lists or self._apart(words_), strict=True))
         out = [got[w] if w in got else self.kept[w] for w in dictionary]
         if len(self.kept) < CACHED_WORDS:
             self.kept.update(got)
@@ -176,8 +207,8 @@ def encode_texts(text: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np
     encoder = _encoder(path)
     codes, offsets, dictionary = words(text)
     lists = encoder(dictionary.to_pylist())
-    size = np.fromiter(map(len, lists), np.int64, len(lists))
-    pool = np.fromiter(chain.from_iterable(lists), encoder.dtype, int(size.sum()))
+    size = np.fromiter(map(len, lists), np.int64, len(lists)) // encoder.dtype.itemsize
+    pool = np.frombuffer(b"".join(lists), encoder.dtype)
     first = np.concatenate([[0], np.cumsum(size)])
     per_word = size[codes]
     ends = np.concatenate([[0], np.cumsum(segment_sum(per_word, offsets) + 1)])
