@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, language, lm, pieces, quality, tokenfile, topk, toxicity
+from . import chat, decontaminate, jaccard, language, lm, pieces, quality, tokenfile, topk, toxicity
 from .columns import held_out
 
 #: Decision thresholds of the classifiers.
@@ -31,6 +31,10 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = held_out(F.col("doc_id"), 4, 2)
@@ -124,7 +128,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op3_toxicity, op4_pieces, op5_topk, op6_chat, op7_quality, op8_language, op9_token_file, op10_jaccard)}
+    return {f.__name__: f for f in (op1_lm_score, op2_decontaminate, op3_toxicity, op4_pieces, op5_topk, op6_chat, op7_quality, op8_language, op9_token_file, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
