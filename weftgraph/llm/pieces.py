@@ -48,19 +48,19 @@ LOCKSTEP = 40
 #: length from which on a text's chunks are dealt to different tasks.
 CHUNK, REACH, GIANT = 16_384, 2_048, 60_000
 #: Words that a worker keeps with their pieces.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 NEVER = np.int64(1) << 40
 
 
 class Table:
     """A vectorised hash table from non-negative 64-bit keys to 32-bit values."""
 
-    def __init__(self, items: dict[int, int]):
-        self.bits = max(4, (4 * len(items)).bit_length())
+    def __init__(self, items: dict[int, int] | tuple[np.ndarray, np.ndarray]):
+        given = items if isinstance(items, tuple) else (list(items), list(items.values()))
+        left, value = np.array(given[0], np.int64), np.array(given[1], np.int32)
+        self.bits = max(4, (3 * len(left)).bit_length())
         size = 1 << self.bits
         self.keys, self.values = np.full(size, -1, np.int64), np.full(size, -1, np.int32)
-        left = np.array(list(items), np.int64)
-        value = np.array(list(items.values()), np.int32)
         place, self.probes = self._hash(left), 0
         while len(left):
             self.probes += 1
@@ -134,7 +134,7 @@ class PieceModel:
         made = {names[i] for i in self.ids.values() if len(names[i]) == 1 or self.left[i] >= 0}
         self.longest = max(map(len, made))
         pairs = {self.ids[p[:k]] * (n + 1) + self.ids[p[k:]]: ranks[self.ids[p]] for p in self.ids if len(p) > 1 for k in range(1, len(p)) if p[:k] in made and p[k:] in made}
-        self.pairs, self.merged = Table(pairs), pairs
+        self.pairs = Table(pairs)
         self.symbol = {c: k for k, c in enumerate(sorted({c for p in made for c in p}))}
         self.unknown = len(self.symbol)
         points = np.full(0x110000, self.unknown, np.int32)
@@ -293,17 +293,21 @@ class PieceModel:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
 
+def _dump(ids: list[int]) -> bytes:
+    return np.array(ids, "<i4").tobytes()
+
+
 class Encoder:
     """Encodes batches of texts; keeps the words it has seen first."""
 
     def __init__(self, path: str):
         self.model = PieceModel(path)
-        self.kept: dict[str, list[int]] = {}
+        self.kept: dict[str, bytes] = {}
 
-    def words(self, words: list[str]) -> list[list[int]]:
-        """Pieces of BLANK + word for each word, byte pieces for unknown characters."""
+    def words(self, words: list[str]) -> list[bytes]:
+        """Pieces of BLANK + word for each word as bytes of 32-bit ids, byte pieces for unknown characters."""
         new = [w for w in words if w not in self.kept]
-        got: dict[str, list[int]] = {}
+        got: dict[str, bytes] = {}
         by_length: dict[int, list[str]] = {}
         for w in new:
             by_length.setdefault(len(w) + 1, []).append(w)
@@ -311,19 +315,17 @@ class Encoder:
         for n, same in by_length.items():
             if n > LOCKSTEP:
                 for w in same:
-                    got[w] = self._bytes(BLANK + w, m.word_ids(BLANK + w))
+                    got[w] = _dump(self._bytes(BLANK + w, m.word_ids(BLANK + w)))
                 continue
             joined = np.frombuffer("".join(BLANK + w for w in same).encode("utf-32-le"), np.uint32)
             symbols = m.points[joined].reshape(-1, n)
             flat, count = m.trace(*m.solve(symbols))
-            strange = (flat == m.size).any()
-            ends = np.cumsum(count).tolist()
-            flat = flat.tolist()
-            begin = 0
-            for w, end in zip(same, ends, strict=True):
-                ids = flat[begin:end]
-                got[w] = self._bytes(BLANK + w, ids) if strange and m.size in ids else ids
-                begin = end
+            ends = np.cumsum(count)
+            strange = np.add.reduceat(flat == m.size, ends - count) if len(flat) else count
+            data = flat.astype("<i4").tobytes()
+            got.update((w, data[4 * a : 4 * b]) for w, a, b in zip(same, (ends - count).tolist(), ends.tolist(), strict=True))
+            for k in np.flatnonzero(strange).tolist():
+                got[same[k]] = _dump(self._bytes(BLANK + same[k], flat[ends[k] - count[k] : ends[k]].tolist()))
         out = [got[w] if w in got else self.kept[w] for w in words]
         if len(self.kept) < CACHED_WORDS:
             self.kept.update(got)
@@ -355,8 +357,8 @@ class Encoder:
         empty = (pc.binary_length(flat).to_numpy() == 0)
         if empty.any():
             codes, lists = self._runs(codes, ends, empty, n_chars, lists, blank)
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        pool = np.fromiter((i for ids in lists for i in ids), np.int32, int(size.sum()))
+        size = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+        pool = np.frombuffer(b"".join(lists), "<i4")
         first = np.concatenate([[0], np.cumsum(size)])
         per = size[codes]
         total = np.concatenate([[0], np.cumsum(per)])
@@ -368,7 +370,7 @@ class Encoder:
         codes, lists = codes.copy(), list(lists)
         own: dict[tuple[int, int], int] = {}
         nothing = len(lists)
-        lists.append([])
+        lists.append(b"")
         last_of = np.zeros(len(codes), bool)
         full = np.diff(ends) > 0
         last_of[ends[1:][full] - 1] = True
@@ -390,10 +392,10 @@ class Encoder:
             else:
                 run, word, at = k + 1, int(codes[end + 1]), end + 1
             if (run, word) not in own:
-                ids = lists[word] if word >= 0 else []
+                ids = np.frombuffer(lists[word], "<i4").tolist() if word >= 0 else []
                 lone = bool(ids) and ids[0] == blank
                 own[run, word] = len(lists)
-                lists.append(self.model.run(run if lone or word < 0 else run - 1) + (ids[1:] if lone else ids))
+                lists.append(_dump(self.model.run(run if lone or word < 0 else run - 1) + (ids[1:] if lone else ids)))
             codes[at] = own[run, word]
         return codes, lists
 
@@ -629,7 +631,7 @@ def _bytes_of(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
 def encode_documents(docs: DataFrame, path: str, giant: int = GIANT) -> DataFrame:
     """All columns of ``docs`` with ``pieces``, the little-endian 32-bit ids of the text (a column of that name is replaced)."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 8)
     docs = docs.drop("pieces")
     schema = docs.withColumn("pieces", F.lit(b"")).schema
 
@@ -654,7 +656,7 @@ def encode_documents(docs: DataFrame, path: str, giant: int = GIANT) -> DataFram
 
 def decode_documents(encoded: DataFrame, path: str, pieces: str = "pieces") -> DataFrame:
     """All columns with ``decoded``, the text of the ids."""
-    bounded_batches(encoded.sparkSession)
+    bounded_batches(encoded.sparkSession, 8)
     schema = encoded.withColumn("decoded", F.lit("")).schema
 
     def make():
@@ -674,20 +676,34 @@ def _ids_of(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return data.astype(np.int64), (ends - ends[0]) // 4
 
 
-def piece_digests(docs: DataFrame, path: str) -> DataFrame:
+DIGESTS = "doc_id long, n_chars long, n_pieces long, pieces_crc32 long, round_trip boolean"
+
+
+def _digests(model: PieceModel, doc_id: pa.Array, text: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    data = memoryview(ids.astype("<u4").tobytes())
+    crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    same = pc.equal(decode(model, ids, ends), pc.replace_substring(text, BLANK, " "))
+    return record("", doc_id=doc_id, n_chars=pc.utf8_length(text).cast(pa.int64()), n_pieces=np.diff(ends), pieces_crc32=np.array(crc, np.int64), round_trip=same)
+
+
+def piece_digests(docs: DataFrame, path: str, giant: int = GIANT) -> DataFrame:
     """(doc_id, n_chars, n_pieces, pieces_crc32, round_trip): ids counted and digested; whether they decode to the text."""
-    encoded = encode_documents(only(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long")), path)
+    bounded_batches(docs.sparkSession, 8)
+    docs = only(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    big = F.coalesce(F.length("text"), F.lit(0)) > giant
 
-    def make():
+    def both():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            text, enc = texts(batch, "text"), encoder(path)
+            return _digests(enc.model, batch.column(0), text, *enc.batch(text))
+
+        return step
+
+    def read():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, ends = _ids_of(batch, "pieces")
-            text = texts(batch, "text")
-            data = memoryview(ids.astype("<u4").tobytes())
-            crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            back = decode(encoder(path).model, ids, ends)
-            same = pc.equal(back, pc.replace_substring(text, BLANK, " "))
-            return record("", doc_id=batch.column(0), n_chars=pc.utf8_length(text).cast(pa.int64()), n_pieces=np.diff(ends), pieces_crc32=np.array(crc, np.int64), round_trip=same)
+            return _digests(encoder(path).model, batch.column(0), texts(batch, "text"), *_ids_of(batch, "pieces"))
 
         return step
 
-    return encoded.select("doc_id", "text", "pieces").mapInArrow(per_batch(make), "doc_id long, n_chars long, n_pieces long, pieces_crc32 long, round_trip boolean")
+    short = docs.filter(~big).mapInArrow(per_batch(both), DIGESTS)
+    return short.union(encode_documents(docs.filter(big), path, giant).select("doc_id", "text", "pieces").mapInArrow(per_batch(read), DIGESTS))
