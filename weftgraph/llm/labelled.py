@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,3 +26,12 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column,
         .limit(limit)
     )
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+
+
+def array_rows(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The rows of a list column as views of its flat values; no Python object stands for a value."""
+    out: list[np.ndarray] = []
+    for chunk in column.chunks:
+        ends, flat = chunk.offsets.to_numpy(), chunk.values.to_numpy()
+        out += [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return out

@@ -6,8 +6,7 @@ score is logistic(bias + sum of w + sum over pairs <v_i, v_j>), the pair sum
 by the usual square trick, so an insult beside a group mention can weigh more
 than both alone.  Terms seen in fewer than ``min_rows`` fitted rows, or whose
 count among toxic rows is within ``min_z`` standard deviations of chance,
-carry no weight; linear weights are shrunk by an L1 step.  Both keep the sum
-over a very long text from drifting.
+carry no weight, which keeps the sum over a very long text from drifting.
 
 Defined cases: a null text counts as empty; an empty text has only the bias.
 Repeated rows are scored alike; an empty table gives no rows; without both
@@ -25,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import bounded_batches, mix, only, per_batch, record, row_of, segment_sum, texts, word_hashes, words
-from .labelled import FIT_ROWS, labelled_rows
+from .labelled import FIT_ROWS, array_rows, labelled_rows
 
 BITS = 22
 FACTORS = 8
@@ -78,19 +77,26 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
-def fit_machine(rows: list[tuple[np.ndarray, int]], bits: int = BITS, factors: int = FACTORS, min_rows: int = 6, min_z: float = 5.0, rate: float = 0.15, l1: float = 0.003, l2: float = 0.002, passes: int = 6, seed: int = 11) -> FactorizationMachine:
-    """Adagrad with an L1 step on the linear weights over (distinct terms, label) rows."""
+def fit_machine(rows: list[tuple[np.ndarray, int]], bits: int = BITS, factors: int = FACTORS, min_rows: int = 6, min_z: float = 5.0, rate: float = 0.05, l1: float = 0.0, l2: float = 0.002, passes: int = 10, seed: int = 11) -> FactorizationMachine:
+    """Adagrad over (distinct terms, label) rows, with an L1 step on the linear weights if asked for."""
     y = np.array([r[1] for r in rows], float)
     prior = float(np.clip(y.mean(), 0.01, 0.99)) if len(rows) else 0.5
     bias = float(np.log(prior / (1 - prior)))
-    flat = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.int64)
-    term, seen = np.unique(flat, return_counts=True)
-    toxic = np.bincount(np.searchsorted(term, flat), np.repeat(y, [len(r[0]) for r in rows]), len(term)) if rows else seen
-    term = term[(seen >= min_rows) & (np.abs(toxic - seen * prior) >= min_z * np.sqrt(seen * prior * (1 - prior)))]
+    seen, toxic = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
+    for r, label in rows:  # terms of a row are distinct
+        seen[r] += 1
+        toxic[r] += label
+    term = np.flatnonzero(seen)
+    seen, toxic = seen[term], toxic[term]
+    far = (seen >= min_rows) & (np.abs(toxic - seen * prior) >= min_z * np.sqrt(seen * prior * (1 - prior)))
+    term, seen, toxic = term[far], seen[far], toxic[far]
     if len(set(y)) < 2 or not len(term):
         return FactorizationMachine(term[:0], np.zeros(0), np.zeros((0, factors)), bias, bits)
     draw = np.random.default_rng(seed)
-    w, v = np.zeros(len(term)), draw.normal(0, 0.01, (len(term), factors))
+    # start from the log odds of each term alone, shared among a word and its stems: rows with many
+    # toxic terms would otherwise leave none of them enough weight to count alone
+    odds = np.log((toxic + 0.5) / (seen - toxic + 0.5)) - bias
+    w, v = odds / (1 + len(STEMS)), draw.normal(0, 0.01, (len(term), factors))
     gw, gv, gb = np.full(len(term), 1e-2), np.full(v.shape, 1e-2), 1e-2
     sets = [np.searchsorted(term, r[0][np.isin(r[0], term)]) for r in rows]
     for _ in range(passes):
@@ -125,7 +131,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, limit: int =
 
     sample = labelled_rows(docs, labels, "toxic", learn, limit).select("doc_id", "text", "label")
     got = sample.mapInArrow(per_batch(make), "doc_id long, label int, terms array<int>").toArrow().sort_by([("doc_id", "ascending")])
-    return fit_machine([(np.asarray(t, np.int64), int(y)) for t, y in zip(got["terms"].to_pylist(), got["label"].to_pylist(), strict=True)])
+    return fit_machine(list(zip(array_rows(got["terms"]), got["label"].to_pylist(), strict=True)))
 
 
 def toxicity_scores(docs: DataFrame, model: FactorizationMachine, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
