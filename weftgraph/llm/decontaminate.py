@@ -76,6 +76,7 @@ class ItemIndex:
     prints: np.ndarray
     near: list[tuple[np.ndarray, np.ndarray]]
     radius: int = RADIUS
+    mass: np.ndarray | None = None
 
     @classmethod
     def build(cls, item_ids: list, texts_: list[str], width: int = WIDTH, radius: int = RADIUS) -> ItemIndex:
@@ -89,6 +90,7 @@ class ItemIndex:
         known, often = np.unique(np.concatenate(list(distinct.values())) if rows else held, return_counts=True)
         out = cls(item_ids, [], np.array([len(r) for r in rows], np.int64), known, 1 / often, np.zeros(0, np.uint64), [], radius)
         out.sets = [dict(zip(*(x.tolist() for x in np.unique(r, return_counts=True)), strict=True)) for r in rows]
+        out.mass = np.array([out.weigh(r)[0].sum() for r in rows], float)
         out.prints = np.array([fold_bits((signs(r) * out.weigh(r)[0][:, None]).sum(0)[None])[0] for r in rows], np.uint64)
         for block in range(4):
             value = (out.prints >> np.uint64(16 * block)).astype(np.uint16)
@@ -135,7 +137,7 @@ class ItemIndex:
         return both / total if total else 0.0
 
     def matches(self, shingles: np.ndarray, least: float = LEAST) -> list[tuple[int, float, int, int]]:
-        """(item, similarity, first shingle, shingles) of the best window for each item that the text holds."""
+        """(item, similarity, first shingle, shingles) of the best window of its length for each item that the text holds."""
         weight, hit = self.weigh(shingles)
         if not hit.any():
             return []
@@ -152,11 +154,21 @@ class ItemIndex:
                 turns = self._turns(shingles, weight, hit)
             a, b = turns[0][start], turns[0][start + size]
             prints = fold_bits(turns[1][b] - turns[1][a])
-            for w, item in zip(*(x.tolist() for x in self.candidates(prints)), strict=True):
-                s = int(start[w])
-                value = self.similarity(shingles[s : s + size], weight[s : s + size], item)
-                if value >= least - 1e-9 and (item not in best or (-value, s, size) < (-best[item][0], *best[item][1:])):
-                    best[item] = (value, s, size)
+            window, item = self.candidates(prints)
+            # a window stands for the items of its own length, or, if it is the whole text, for longer ones
+            own = (self.sizes[item] == size) | ((size == len(shingles)) & (self.sizes[item] > size))
+            window, item = window[own], item[own]
+            mass, shared = total[start + size] - total[start], held[start + size] - held[start]
+            bound = np.minimum(shared[window], self.mass[item]) / np.maximum(mass[window], self.mass[item])
+            for k in np.lexsort((window, -bound)).tolist():
+                s, item_ = int(start[window[k]]), int(item[k])
+                if bound[k] < max(least, best[item_][0] if item_ in best else 0) - 1e-9:
+                    continue
+                if item_ in best and best[item_][0] >= bound[k] - 1e-12 and (best[item_][1], best[item_][2]) <= (s, size):
+                    continue  # it can't be better, nor as good and earlier
+                value = self.similarity(shingles[s : s + size], weight[s : s + size], item_)
+                if value >= least - 1e-9 and (item_ not in best or (-value, s, size) < (-best[item_][0], *best[item_][1:])):
+                    best[item_] = (value, s, size)
         return [(item, *found) for item, found in sorted(best.items())]
 
     def _turns(self, shingles: np.ndarray, weight: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
