@@ -37,6 +37,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,21 +67,39 @@ class Subwords:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.end = len(ranks)
+        self.opens = np.zeros(self.end + 1, bool)
+        self.opens[[i for piece, i in ranks.items() if piece.startswith(b" ")]] = True
         self.coder = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.kept: dict[str, bytes] = {}
 
+    def _together(self, words: list[str]) -> list[bytes] | None:
+        """Encode words as one text; a word starts where a piece starts with a blank."""
+        ids = np.array(self.coder.encode_ordinary(" " + " ".join(words)), np.int32)
+        starts = (np.flatnonzero(self.opens[ids]) * 4).tolist()
+        if len(starts) != len(words):
+            return None
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)], strict=True)]
+
     def __call__(self, dictionary: list[str]) -> list[bytes]:
         """The ids of each word as bytes."""
-        code = self.coder.encode_ordinary
-        out, kept, room = [], self.kept, CACHED_WORDS - len(self.kept)
-        for w in dictionary:
-            ids = kept.get(w)
-            if ids is None:
-                ids = array("i", code(" " + w)).tobytes()
-                if room > 0:
-                    kept[w] = ids
-                    room -= 1
-            out.append(ids)
+        kept = self.kept
+        new = [w for w in dictionary if w not in kept]
+        got: dict[str, bytes] = {}
+        # white space of other kinds would join across words
+        odd = pc.match_substring_regex(pa.array(new, pa.string()), r"[\p{Z}\x{85}\x00-\x1f]").to_numpy(zero_copy_only=False)
+        plain = [w for w, o in zip(new, odd, strict=True) if not o]
+        for k in range(0, len(plain), 4096):
+            some = plain[k : k + 4096]
+            lists = self._together(some)
+            if lists:
+                got.update(zip(some, lists, strict=True))
+        for w in new:
+            if w not in got:
+                got[w] = array("i", self.coder.encode_ordinary(" " + w)).tobytes()
+        out = [got[w] if w in got else kept[w] for w in dictionary]
+        if len(kept) < CACHED_WORDS:
+            kept.update(got)
         return out
 
 
