@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import bounded_batches, mix, only, per_batch, record, row_of, segment_sum, texts, word_hashes, words
-from .labelled import FIT_ROWS, labelled_rows
+from .labelled import FIT_ROWS, array_rows, labelled_rows
 
 BITS = 20
 
@@ -134,7 +134,7 @@ def training_rows(sample: DataFrame, bits: int = BITS) -> list[tuple[np.ndarray,
         return step
 
     got = sample.select("doc_id", "text", "label").mapInArrow(per_batch(make), "doc_id long, label int, i array<int>, x array<float>").toArrow().sort_by([("doc_id", "ascending")])
-    return [(np.asarray(i, np.int64), np.asarray(x, float), int(y)) for i, x, y in zip(got["i"].to_pylist(), got["x"].to_pylist(), got["label"].to_pylist(), strict=True)]
+    return list(zip(array_rows(got["i"]), array_rows(got["x"]), got["label"].to_pylist(), strict=True))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = FIT_ROWS) -> FtrlModel:
