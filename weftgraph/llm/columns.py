@@ -118,10 +118,27 @@ def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Ite
                 yield out
             elif out is not None:
                 yield from out
+        give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers serve one task after another."""
+    pa.default_memory_pool().release_unused()
+    try:
+        _libc().malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+@cache
+def _libc():
+    import ctypes
+
+    return ctypes.CDLL("libc.so.6")
+
+
 def record(schema: str | pa.Schema, **columns) -> pa.RecordBatch:
     """A record batch from arrays, numpy arrays or lists, in keyword order."""
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))

@@ -45,9 +45,9 @@ from .columns import bounded_batches, only, per_batch, record, row_of, segment_s
 from .pieces import Table
 
 STRIDE, WIDTH = 16, 16
-HIDDEN, CLASSES, FREQUENT = 28, 128, 72
+HIDDEN, CLASSES, FREQUENT = 28, 128, 100
 #: Weight of the coarser share when shares are smoothed: by class, by id.
-BY_CLASS, BY_ID = 20.0, 5.0
+BY_CLASS, BY_ID = 60.0, 10.0
 #: Documents and windows that weights are trained on at most, drawn by hash from all training texts.
 FIT_DOCS, FIT_WINDOWS = 4500, 60_000
 #: Word counts that are broadcast at most.
@@ -218,11 +218,16 @@ class AttentionModel:
         w = self.weights
         e = w["embed"]
         self.query = (e @ w["query"] / np.sqrt(WIDTH)).astype(np.float32)
-        self.key, self.value = (e @ w["key"]).astype(np.float32), (e @ w["value"] @ w["mix"]).astype(np.float32)
+        self.key, self.value = (e @ w["key"]).astype(np.float32), (e @ w["value"]).astype(np.float32)
+        self.mix = w["mix"].astype(np.float32)
         self.rest = (e @ w["rest"] + w["shift"]).astype(np.float32)
         i, j = np.arange(STRIDE)[:, None] + STRIDE, np.arange(2 * STRIDE)[None, :]
         self.bias = np.where(i >= j, w["bias"][np.maximum(i - j, 0)], np.float32(-1e4)).astype(np.float32)
-        self.out, self.lift = w["out"].astype(np.float32), w["lift"].astype(np.float32)
+        # the shift of the logits is a weight of a hidden unit that is always 1
+        self.out = np.concatenate([w["out"], w["lift"][None, :]]).astype(np.float32)
+        # exponents that can't overflow need no clipping
+        reach = np.linalg.norm(self.query, axis=1).max() * np.linalg.norm(self.key, axis=1).max() + np.abs(w["bias"]).max()
+        self.safe = bool(reach < 60), bool(np.abs(self.out).sum(0).max() < 80)
 
     def block_scores(self, inputs: np.ndarray, targets: np.ndarray, start: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Natural log probability of the classes of each block's targets."""
@@ -234,22 +239,25 @@ class AttentionModel:
         s = np.matmul(self.query[own], self.key[x].transpose(0, 2, 1))
         s += self.bias
         s[first, :, :STRIDE] = -1e4
-        np.minimum(s, 60, out=s)
+        if not self.safe[0]:
+            np.minimum(s, 60, out=s)
         np.exp(s, out=s)
-        mixed = np.matmul(s, self.value[x])
-        mixed /= s.sum(2)[:, :, None]
-        mixed += self.rest[own]
-        np.tanh(mixed, out=mixed)
-        logits = mixed.reshape(-1, HIDDEN) @ self.out
-        logits += self.lift
+        seen = np.matmul(s, self.value[x])
+        seen /= s.sum(2)[:, :, None]
+        hidden = np.ones((own.size, HIDDEN + 1), np.float32)
+        mixed = seen.reshape(-1, WIDTH) @ self.mix
+        mixed += self.rest[own].reshape(-1, HIDDEN)
+        np.tanh(mixed, out=hidden[:, :HIDDEN])
+        logits = hidden @ self.out
         y = targets[at[:, STRIDE:]].ravel()
         picked = logits[np.arange(len(y)), self.classes[y]]
-        np.minimum(logits, 80, out=logits)
+        if not self.safe[1]:
+            np.minimum(logits, 80, out=logits)
         np.exp(logits, out=logits)
         logp = picked - np.log(logits.sum(1))
         return np.where(live.ravel(), logp, 0).reshape(live.shape).sum(1, dtype=np.float64)
 
-    def score(self, batch: Batch, step: int = 384) -> np.ndarray:
+    def score(self, batch: Batch, step: int = 256) -> np.ndarray:
         """log10 probability of each row."""
         if not hasattr(self, "query"):
             self.tables()
@@ -304,9 +312,9 @@ def id_classes(windows: np.ndarray, counts: np.ndarray, seed: int = 5) -> np.nda
     return out
 
 
-def train(windows: np.ndarray, pairs: np.ndarray, often: np.ndarray, n: int, passes: int = 0, batch: int = 64, rate: float = 0.01, seed: int = 3) -> AttentionModel:
+def train(windows: np.ndarray, pairs: np.ndarray, often: np.ndarray, n: int, passes: int = 0, batch: int = 64, rate: float = 0.03, seed: int = 3) -> AttentionModel:
     """Train on rows of 2 * STRIDE + 1 ids below n; ``often`` counts the neighbouring ids of all training texts."""
-    passes = passes or max(4, min(10, 300_000 // max(len(windows), 1)))
+    passes = passes or max(5, min(14, 360_000 // max(len(windows), 1)))
     counts = np.bincount(pairs % n, often, n)
     classes = id_classes(windows, counts)
     draw = np.random.default_rng(seed)
