@@ -15,7 +15,7 @@ Defined cases: vectors that are null, or hold null or non-finite components,
 take no part, nor do rows with a null id; a row isn't a candidate of a query
 with its own id; repeated candidate rows each count; repeated query rows give
 one answer for each distinct vector; shorter vectors count as padded with zeros;
-empty vectors score 0; ties go to the smaller id; an empty table gives no rows.
+empty vectors score 0; a score beyond 64 bits counts in the order and is null; ties go to the smaller id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -120,4 +120,4 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     found = found.withColumn("rank", some).filter(F.col("rank") <= k)
     rank = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(*best))
     ranked = found.withColumn("rank", rank).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
+    return ranked.select("query_id", "rank", "vec_id", F.col("score").try_cast("long").alias("score"))
