@@ -5,10 +5,10 @@
     have a common order: those in many documents last (counted over all
     documents), the others by hash.  If d(x, y) <= t, x and y share one of the
     first |x| - ceil((1 - t)|x|) + 1 shingles of each, so a set is replicated
-    to just those cells, and a pair needs to be met only where sizes and places
-    leave room for enough common shingles.
-2.  Documents as pivots.  What is left of a cell forms the region of its least
-    document.  A region chooses pivots, gives each set to the Voronoi cell of
+    to just those cells, and a pair has to meet in so many of them that enough
+    common shingles are left (see _regions).
+2.  Documents as pivots.  Pairs that are left form regions around their least
+    neighbour.  A region chooses pivots, gives each set to the Voronoi cell of
     its nearest pivot, and replicates it to cell j if d_j - d_i <= 2t; cells
     join recursively.  Sets within t of one pivot are one component and need
     no test among themselves; |d(x,p) - d(y,p)| > t rules a pair out.
@@ -38,10 +38,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import bounded_batches, only, per_batch, record, row_of, shared_dir, shingles_of, texts
+from .columns import bounded_batches, give_back, only, per_batch, record, row_of, shared_dir, shingles_of, texts
 from .components import components
 
 #: Numerator and denominator of the least similarity.
@@ -136,6 +136,7 @@ def common_shingles(docs: DataFrame, width: int, parts: int) -> np.ndarray:
         fold()
         top = counts >= COMMON
         yield record("", key=keys[top].astype(np.int64), n=counts[top])
+        give_back()
 
     counted = docs.mapInArrow(per_batch(make), "part int, rows long, first long, size int, blob binary").repartitionById(parts, F.col("part")).mapInArrow(count, "key long, n long").checkpoint()
     least = COMMON
@@ -189,13 +190,13 @@ def _cells(batch: pa.RecordBatch, common, width: int, parts: int, num: int, den:
 
 
 def _meetings(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """What is left of the cells of one part: (region, member) rows; document rows pass through."""
+    """What is left of the cells of one part; document rows pass through."""
     got = []
     for batch in batches:
         is_doc = batch.column(4).is_null()
         docs = batch.filter(is_doc)
         if docs.num_rows:
-            yield record("", doc_id=docs.column(1), n=docs.column(2), digest=docs.column(3), region=pa.nulls(docs.num_rows, pa.int64()))
+            yield _met("d", u=docs.column(1), n=docs.column(2), digest=docs.column(3))
         rest = batch.filter(pa.compute.invert(is_doc))
         for rows, blob in zip(rest.column(4).to_pylist(), rest.column(5).to_pylist(), strict=True):
             d, n, digest, pos, high, low = _unpack(blob, rows, "<i8", "<u4", "<u8", "<u4", "u1", "<u4")
@@ -213,40 +214,81 @@ def _meetings(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator
     keep = size[group] > 1
     doc, n, pos, group = doc[keep], n[keep], pos[keep], group[keep]
     size = size[group]
-    region = np.full(len(doc), -1, np.int64)
-    # large cells whole, small ones as the parts that pairs hold together
+    # large cells become regions; in small ones pairs of fitting sizes count the cells that they share
     large = size > PAIRWISE
-    index = np.flatnonzero(~large)
-    label = np.arange(len(index))
-    left, right = [], []
-    g, nn, pp = group[index], n[index], pos[index]
+    rows = np.flatnonzero(large)
+    rows = rows[np.lexsort((doc[rows], group[rows]))]
+    first = np.concatenate([[True], group[rows][1:] != group[rows][:-1]]) if len(rows) else np.zeros(0, bool)
+    center = doc[rows][np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))] if len(rows) else doc[:0]
+    members = np.unique(np.stack([center, doc[rows]], 1), axis=0)
+    yield _met("m", u=members[:, 0], v=members[:, 1])
+    g, n = group[~large], n[~large]
+    ids, local = np.unique(doc[~large], return_inverse=True)
+    sizes = np.zeros(len(ids), np.int64)
+    sizes[local] = n
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held: list[np.ndarray] = []
+
+    def fold():
+        nonlocal keys, counts, held
+        k = np.concatenate([keys, *held])
+        c = np.concatenate([counts, np.ones(len(k) - len(keys), np.int64)])
+        keys, where = np.unique(k, return_inverse=True)
+        counts, held = np.bincount(where, c, len(keys)).astype(np.int64), []
+
     for k in range(1, PAIRWISE):
         a = np.flatnonzero(g[:-k] == g[k:]) if len(g) > k else np.zeros(0, int)
         if not len(a):
             break
-        b = a + k
-        room = 1 + np.minimum(nn[a] - 1 - pp[a], nn[b] - 1 - pp[b])
-        fine = linked(room, nn[a], nn[b], num, den) & (den * np.minimum(nn[a], nn[b]) >= num * np.maximum(nn[a], nn[b]))
-        left.append(a[fine])
-        right.append(b[fine])
-    a, b = (np.concatenate(x) if x else np.zeros(0, int) for x in (left, right))
-    while True:
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        if (label == before).all():
-            break
-    met = np.zeros(len(index), bool)
-    met[a] = met[b] = True
-    key = np.where(large, group, -1)
-    key[index[met]] = label[met] + (group.max() + 1 if len(group) else 0)
-    rows = np.flatnonzero(key >= 0)
-    rows = rows[np.lexsort((doc[rows], key[rows]))]
-    first = np.concatenate([[True], key[rows][1:] != key[rows][:-1]]) if len(rows) else np.zeros(0, bool)
-    center = doc[rows][np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))] if len(rows) else region[:0]
-    pairs = np.unique(np.stack([center, doc[rows]], 1), axis=0)
-    yield record("", doc_id=pairs[:, 1], n=pa.nulls(len(pairs), pa.int64()), digest=pa.nulls(len(pairs), pa.binary()), region=pairs[:, 0])
+        a = a[den * np.minimum(n[a], n[a + k]) >= num * np.maximum(n[a], n[a + k])]
+        x, y = local[a], local[a + k]
+        held.append(np.minimum(x, y) * len(ids) + np.maximum(x, y))
+        if sum(map(len, held)) > 2_000_000:
+            fold()
+    fold()
+    x, y = keys // max(len(ids), 1), keys % max(len(ids), 1)
+    give_back()
+    yield _met("p", u=ids[x], v=ids[y], k=counts, n=sizes[x], n2=sizes[y])
+
+
+MET = pa.schema([("kind", pa.string()), ("u", pa.int64()), ("v", pa.int64()), ("k", pa.int64()), ("n", pa.int64()), ("n2", pa.int64()), ("digest", pa.binary())])
+
+
+def _met(kind: str, **columns) -> pa.RecordBatch:
+    """Rows of one kind: d (document: u, n, digest), m (region u, member v) or p (pair u, v with k common cells)."""
+    size = len(columns["u"])
+    return pa.RecordBatch.from_arrays([pa.array([kind] * size, pa.string()), *(pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in list(MET)[1:])], schema=MET)
+
+
+def _regions(met: DataFrame, num: int, den: int) -> DataFrame:
+    """(region, doc_id) of the sets that have to meet.
+
+    Sets of sizes a and b need c common shingles, c = ceil(t(a + b) / (1 + t)).
+    Of the two, let x be the one whose first shingles end earlier in the common
+    order: its common shingles beyond them are |x| - p_x at most, so it shares
+    c - |x| + p_x cells with the other at least.  Pairs with fewer are let go,
+    unless they meet in a large cell, which is a region anyway, or have an id
+    with several sets, whose sizes aren't told apart here.  One cell less is
+    asked for, as two shingles of a set may have one cell key.
+    """
+    pairs = met.filter("kind = 'p'").groupBy("u", "v").agg(F.sum("k").alias("k"), F.min("n").alias("a"), F.min("n2").alias("b"))
+    need = F.ceil((F.col("a") + F.col("b")) * num / F.lit(float(num + den)) - 1e-9)
+
+    def beyond(n: str) -> Column:
+        return F.ceil(F.col(n) * num / F.lit(float(den)) - 1e-9) - 1  # |x| - p_x
+
+    enough = F.col("k") + 1 >= need - F.greatest(beyond("a"), beyond("b"))
+    several = met.filter("kind = 'd'").groupBy("u").agg(F.count_distinct("digest").alias("sets")).filter("sets > 1").select("u", F.lit(True).alias("s1"))
+    if not several.isEmpty():
+        pairs = pairs.join(several, "u", "left").join(several.select(F.col("u").alias("v"), F.col("s1").alias("s2")), "v", "left")
+        enough = enough | F.coalesce("s1", "s2", F.lit(False))
+    pairs = pairs.filter(enough).select("u", "v").checkpoint()
+    both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+    met_at = pairs.join(least, "u").join(least.select(F.col("u").alias("v"), F.col("m").alias("m2")), "v")
+    region = F.least("m", "m2").alias("region")
+    small = met_at.select(region, F.explode(F.array("u", "v")).alias("doc_id"))
+    return small.union(met.filter("kind = 'm'").select("u", "v")).distinct()
 
 
 # One region -------------------------------------------------------------------
@@ -364,6 +406,7 @@ def _join_regions(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iter
     close()
     if out:
         yield record("", u=[a for a, _ in out], v=[b for _, b in out])
+    give_back()
 
 
 # Regions too large for a task ---------------------------------------------------
@@ -461,7 +504,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """(doc_id, n_shingles, component_id) of every row."""
     spark = docs.sparkSession
     shared_dir(spark)
-    bounded_batches(spark)
+    bounded_batches(spark, 8)
     docs = only(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     lost = docs.filter("doc_id is null")
     known = docs.filter("doc_id is not null")
@@ -472,9 +515,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     order = np.argsort(common, kind="stable")
     shared = spark.sparkContext.broadcast((common[order], order))
     dealt = known.mapInArrow(per_batch(lambda: lambda batch: _cells(batch, shared.value, width, parts, num, den)), "part int, doc_id long, n long, digest binary, rows long, blob binary")
-    met = dealt.repartitionById(parts, F.col("part")).mapInArrow(partial(_meetings, num=num, den=den), "doc_id long, n long, digest binary, region long").checkpoint()
-    rows = met.filter("region is null").select("doc_id", "n", "digest")
-    members = met.filter("region is not null").select("region", "doc_id").distinct()
+    met = dealt.repartitionById(parts, F.col("part")).mapInArrow(partial(_meetings, num=num, den=den), "kind string, u long, v long, k long, n long, n2 long, digest binary").checkpoint()
+    rows = met.filter("kind = 'd'").select(F.col("u").alias("doc_id"), "n", "digest")
+    members = _regions(met, num, den)
     members = members.join(members.groupBy("region").agg(F.count("*").alias("size")), "region").filter("size > 1").checkpoint()
     # the sets of the members; each goes to its regions
     places_of = members.groupBy("doc_id").agg(F.collect_list(F.struct("region", "size")).alias("regions"))
