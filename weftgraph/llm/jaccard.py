@@ -35,6 +35,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -412,88 +413,103 @@ def _join_regions(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iter
 # Regions too large for a task ---------------------------------------------------
 
 
-def _distances(pivots: dict, num: int, den: int):
+STATE = "region long, doc_id long, blob binary, d array<double>, label long, near array<long>"
+
+
+def _distances(pivots, num: int, den: int):
+    """Adds each member's distances to its region's pivots, and the pivots near it."""
+
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found, near = [], []
-            for region, doc, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            far, near = [], []
+            for region, blob, d in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
                 own = _blob_set(blob)
-                some = pivots.value[region]
+                some = pivots.value.get(region, [])
                 both = [int(np.isin(p, own, assume_unique=True).sum()) for _, p in some]
-                found.append([1 - b / (len(p) + len(own) - b) for b, (_, p) in zip(both, some, strict=True)])
+                far.append([*d, *(1 - b / (len(p) + len(own) - b) for b, (_, p) in zip(both, some, strict=True))])
                 near.append([q for b, (q, p) in zip(both, some, strict=True) if linked(b, len(p), len(own), num, den)])
-            return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.float64())), pa.array(near, pa.list_(pa.int64()))], ["region", "doc_id", "blob", "found", "near"])
+            return record("", region=batch.column(0), doc_id=batch.column(1), blob=batch.column(2), d=pa.array(far, pa.list_(pa.float64())), label=batch.column(4), near=pa.array(near, pa.list_(pa.int64())))
 
         return step
 
     return make
 
 
-def _join_large(members: DataFrame, num: int, den: int, pivots: int = 8, rounds: int = 4, block: int = 256) -> DataFrame:
+def _merged(same: list) -> list[tuple[int, int, int]]:
+    """(region, label, least label of its component) from pairs of labels that are one component."""
+    parent: dict[tuple[int, int], int] = {}
+
+    def root(region: int, x: int) -> int:
+        while parent.get((region, x), x) != x:
+            x = parent[region, x]
+        return x
+
+    for r in same:
+        a, b = root(r.region, r.a), root(r.region, r.b)
+        if a != b:
+            parent[r.region, max(a, b)] = min(a, b)
+    return [(region, x, root(region, x)) for region, x in sorted({(r.region, y) for r in same for y in (r.a, r.b)})]
+
+
+def _crossed(members: pd.DataFrame, rest: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """Links between some members of a region and some of its unsettled ones."""
+    u, v = [], []
+    if len(members) and len(rest):
+        region = Region(members["doc_id"].to_numpy(), [_blob_set(b) for b in members["blob"]], num, den)
+        d = np.stack(members["d"].to_numpy()) if len(members["d"].iloc[0]) else np.zeros((len(members), 0))
+        label = members["label"].to_numpy(float)
+        for doc, blob, own, mine in zip(rest["doc_id"], rest["blob"], rest["d"], rest["label"].to_numpy(float), strict=True):
+            some = np.flatnonzero((np.abs(d - np.asarray(own)[None, :]) <= region.reach + 1e-9).all(1) & (region.ids != doc) & ~(label == mine))
+            p = _blob_set(blob)
+            flat = np.concatenate([region.sets[i] for i in some]) if len(some) else region.flat[:0]
+            ends = np.concatenate([[0], np.cumsum(region.n[some])])
+            hit = p[np.minimum(np.searchsorted(p, flat), len(p) - 1)] == flat
+            both = np.diff(np.concatenate([[0], np.cumsum(hit)])[ends])
+            near = some[linked(both, len(p), region.n[some], num, den)]
+            u += [doc] * len(near)
+            v += region.ids[near].tolist()
+    return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
+
+
+def _join_large(members: DataFrame, num: int, den: int, pivots: int = 8, rounds: int = 4, part: int = 512) -> DataFrame:
     """Links that connect the members (region, doc_id, blob) of regions of any size.
 
-    Only pivots come to the driver, ``pivots`` a region and round, and which
-    of them are one component, as far as a member is near to two of them.
+    Only pivots come to the driver, about ``pivots`` a region and round, and
+    which of them are one component, as far as a member is near to two of them.
     """
     spark = members.sparkSession
-    state = members.withColumn("d", F.array().cast("array<double>")).withColumn("label", F.lit(None).cast("long")).checkpoint()
+    state = members.select("region", "doc_id", "blob", F.array().cast("array<double>").alias("d"), F.lit(None).cast("long").alias("label")).checkpoint()
     links = None
-    for _ in range(rounds):
+    for turn in range(rounds):
         open_ = state.filter("label is null")
         sizes = open_.groupBy("region").agg(F.count("*").alias("open"))
-        few = open_.join(sizes, "region").filter(F.pmod(F.xxhash64("doc_id", F.lit(rounds)), F.col("open")) < 2 * pivots).select("region", "doc_id", "blob")
+        few = open_.join(sizes, "region").filter(F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.col("open")) < 2 * pivots).select("region", "doc_id", "blob")
         chosen: dict[int, list] = {}
         for r in few.collect():
             chosen.setdefault(r.region, []).append((r.doc_id, _blob_set(r.blob)))
-        for region in [r.region for r in state.select("region").distinct().collect()]:
-            chosen[region] = sorted(chosen.get(region, []), key=lambda x: x[0])[:pivots]
-        if not any(chosen.values()):
+        if not chosen:
             break
-        shared = spark.sparkContext.broadcast(chosen)
-        met = state.select("region", "doc_id", "blob").mapInArrow(per_batch(_distances(shared, num, den)), "region long, doc_id long, blob binary, found array<double>, near array<long>")
-        met = state.drop("blob").join(met, ["region", "doc_id"]).checkpoint()
-        some = met.select("region", F.col("doc_id").alias("u"), F.explode("near").alias("v"))
-        links = some.select("u", "v") if links is None else links.union(some.select("u", "v"))
-        # pivots near to one member, and labels of earlier rounds, are one component
+        shared = spark.sparkContext.broadcast({region: sorted(p, key=lambda x: x[0])[:pivots] for region, p in chosen.items()})
+        met = state.mapInArrow(per_batch(_distances(shared, num, den)), STATE).checkpoint()
+        some = met.select(F.col("doc_id").alias("u"), F.explode("near").alias("v"))
+        links = some if links is None else links.union(some)
+        # pivots near one member, and its label of an earlier round, are one component
         same = met.filter(F.size("near") > 0).select("region", F.coalesce("label", F.col("near")[0]).alias("a"), F.explode("near").alias("b")).distinct().collect()
-        parent: dict[tuple, int] = {}
-
-        def root(key, parent=parent):
-            while parent.get(key, key[1]) != key[1]:
-                key = (key[0], parent[key])
-            return key[1]
-
-        for r in same:
-            a, b = root((r.region, r.a)), root((r.region, r.b))
-            if a != b:
-                parent[r.region, max(a, b)] = min(a, b)
-        found = spark.createDataFrame([(g, x, root((g, x))) for g, x in {(r.region, y) for r in same for y in (r.a, r.b)}], "region long, x long, to long")
+        merged = F.broadcast(spark.createDataFrame(_merged(same), "region long, x long, to long"))
         met = met.withColumn("x", F.coalesce("label", F.get("near", F.lit(0))))
-        state = met.join(F.broadcast(found), ["region", "x"], "left").select("region", "doc_id", "blob", F.concat("d", "found").alias("d"), F.coalesce("to", "x").alias("label")).checkpoint()
-        if state.filter("label is null").limit(REGION + 1).count() <= REGION:
+        state = met.join(merged, ["region", "x"], "left").select("region", "doc_id", "blob", "d", F.coalesce("to", "x").alias("label")).checkpoint()
+        if state.filter("label is null").limit(part + 1).count() <= part:
             break
-    # in each region the most common component is settled; all others meet everything
+    # in each region the most common component is settled; all others meet everything, part by part
     main = state.filter("label is not null").groupBy("region", "label").count().groupBy("region").agg(F.max_by("label", "count").alias("main"))
-    state = state.join(F.broadcast(main), "region", "left").drop("main").join(F.broadcast(main), "region", "left")
-    rest = state.filter("label is null or main is null or label <> main")
-    blocks = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-rest.count() // block))))).groupBy("region", "block").agg(F.collect_list(F.struct("doc_id", "blob", "d", "label")).alias("rest"))
-    reach = 1 - num / den
-
-    def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            u, v = [], []
-            for doc, blob, d, label, rest in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                own, d = _blob_set(blob), np.array(d)
-                for other in rest:
-                    if other["doc_id"] == doc or (label is not None and label == other["label"]) or (np.abs(d - np.array(other["d"])) > reach + 1e-9).any():
-                        continue
-                    p = _blob_set(other["blob"])
-                    if linked(int(np.isin(p, own, assume_unique=True).sum()), len(own), len(p), num, den):
-                        u.append(doc)
-                        v.append(other["doc_id"])
-            yield record("", u=pa.array(u, pa.int64()), v=pa.array(v, pa.int64()))
-
-    cross = state.join(blocks, "region").select("doc_id", "blob", "d", "label", "rest").mapInArrow(crossed, "u long, v long")
+    rest = state.join(F.broadcast(main), "region", "left").filter("label is null or label <> main").drop("main")
+    most = state.groupBy("region").count().agg(F.max("count").alias("n")).first().n or 1
+    parts, blocks = -(-most // part), max(1, -(-rest.count() // part))
+    left = state.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    right = rest.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns apart from those of the left side
+    keys = ["region", "part", "block"]
+    cross = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(partial(_crossed, num=num, den=den), "u long, v long")
     return cross if links is None else links.union(cross)
 
 
