@@ -219,6 +219,9 @@ class AttentionModel:
         e = w["embed"]
         self.query = (e @ w["query"] / np.sqrt(WIDTH)).astype(np.float32)
         self.key, self.value = (e @ w["key"]).astype(np.float32), (e @ w["value"]).astype(np.float32)
+        # a value that is always 1 gathers the sum of the attention weights
+        self.value = np.concatenate([self.value, np.ones((len(e), 1), np.float32)], 1)
+        self.ones = np.ones(CLASSES, np.float32)
         self.mix = w["mix"].astype(np.float32)
         self.rest = (e @ w["rest"] + w["shift"]).astype(np.float32)
         i, j = np.arange(STRIDE)[:, None] + STRIDE, np.arange(2 * STRIDE)[None, :]
@@ -243,7 +246,7 @@ class AttentionModel:
             np.minimum(s, 60, out=s)
         np.exp(s, out=s)
         seen = np.matmul(s, self.value[x])
-        seen /= s.sum(2)[:, :, None]
+        seen = seen[:, :, :WIDTH] / seen[:, :, WIDTH:]
         hidden = np.ones((own.size, HIDDEN + 1), np.float32)
         mixed = seen.reshape(-1, WIDTH) @ self.mix
         mixed += self.rest[own].reshape(-1, HIDDEN)
@@ -254,10 +257,10 @@ class AttentionModel:
         if not self.safe[1]:
             np.minimum(logits, 80, out=logits)
         np.exp(logits, out=logits)
-        logp = picked - np.log(logits.sum(1))
+        logp = picked - np.log(logits @ self.ones)
         return np.where(live.ravel(), logp, 0).reshape(live.shape).sum(1, dtype=np.float64)
 
-    def score(self, batch: Batch, step: int = 256) -> np.ndarray:
+    def score(self, batch: Batch, step: int = 128) -> np.ndarray:
         """log10 probability of each row."""
         if not hasattr(self, "query"):
             self.tables()
