@@ -100,3 +100,14 @@ def test_without_training_texts(spark, path, odd_docs):
     got = lm.score_documents(odd_docs, F.lit(False), path("byte_bpe_50k.tiktoken")).collect()
     assert len(got) == 10 and {r.train_tokens for r in got} == {0} and {r.n_known for r in got} == {0} and all(r.base_score == 0 for r in got)
     assert lm.score_documents(odd_docs.limit(0), F.lit(True), path("byte_bpe_50k.tiktoken")).count() == 0
+
+
+def test_pairs_beyond_the_broadcast_count(spark, path, make_text, monkeypatch):
+    """Scores don't depend on how many pairs are broadcast."""
+    docs = spark.createDataFrame([(i, make_text(i, 40)) for i in range(60)], "doc_id long, text string")
+    scores = []
+    for most in (1_000_000, 30, 0):
+        monkeypatch.setattr(lm, "BROADCAST_PAIRS", most)
+        got = lm.score_documents(docs, ~held_out(F.col("doc_id"), 7, 2), path("byte_bpe_50k.tiktoken")).collect()
+        scores.append([r.score for r in sorted(got, key=lambda r: r.doc_id)])
+    assert np.allclose(scores[0], scores[1], rtol=1e-5) and np.allclose(scores[0], scores[2], rtol=1e-5)

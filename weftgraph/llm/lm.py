@@ -19,7 +19,10 @@ where the text has them.
 
 The base score is that of add-one word counts.  Words in the table that is
 broadcast (the most frequent ones, ``BROADCAST_WORDS`` at most) are looked up
-in place; rarer ones are joined with the full count table by shuffle.
+in place; rarer ones are joined with the full count table by shuffle.  So it is
+with neighbouring ids: totals by id and class are summed over all pairs, the
+most frequent pairs (``BROADCAST_PAIRS`` at most) are looked up in place, and
+the counts of the others are joined by shuffle.
 
 Defined cases: a null text is empty, which still has its end token; repeated
 rows are scored alike and, in training, counted each; without training texts
@@ -53,7 +56,7 @@ FIT_DOCS, FIT_WINDOWS = 4500, 60_000
 #: Word counts that are broadcast at most.
 BROADCAST_WORDS = 1_500_000
 CACHED_WORDS = 250_000
-#: Pairs of neighbouring ids that are broadcast at most; beyond that, those seen most often.
+#: Pairs of neighbouring ids that are broadcast at most, those seen most often; the others are joined.
 BROADCAST_PAIRS = 2_000_000
 
 
@@ -175,19 +178,33 @@ def blocks(ids: np.ndarray, ends: np.ndarray, stride: int = STRIDE) -> tuple[np.
     return inputs, ends[:-1][row] + nth * stride, nth == 0, row
 
 
+def pair_keys(classes: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each pair counts for: (class before, id), and (id before, class)."""
+    left, right = pairs // len(classes), pairs % len(classes)
+    return classes[left] * len(classes) + right, left * CLASSES + classes[right]
+
+
+def class_sums(classes: np.ndarray, pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by (class before, id) and by (id before, class)."""
+    return tuple(np.bincount(k, counts, CLASSES * len(classes)) for k in pair_keys(classes, pairs))
+
+
 class Shares:
-    """P(id | its class, the id before it) from counts of neighbouring ids."""
+    """P(id | its class, the id before it) from counts of neighbouring ids.
+
+    ``sums`` are those of ``class_sums`` over all pairs; without them, ``pairs`` are all there are.
+    """
 
-    def __init__(self, classes: np.ndarray, pairs: np.ndarray, counts: np.ndarray):
+    def __init__(self, classes: np.ndarray, pairs: np.ndarray, counts: np.ndarray, sums: tuple[np.ndarray, np.ndarray] | None = None):
         size = len(classes)
         left, right = pairs // size, pairs % size
-        own = np.bincount(right, counts, size) + 0.1
+        table, follow = sums or class_sums(classes, pairs, counts)
+        table = table.reshape(CLASSES, size)
+        own = table.sum(0) + 0.1
         share = own / np.bincount(classes, own, CLASSES)[classes]
         before, into = classes[left], classes[right]
-        total = np.bincount(before * CLASSES + into, counts, CLASSES * CLASSES)
-        table = np.bincount(before * size + right, counts, CLASSES * size).reshape(CLASSES, size)
-        table = (table + BY_CLASS * share) / (total.reshape(CLASSES, CLASSES)[:, classes] + BY_CLASS)
-        follow = np.bincount(left * CLASSES + into, counts, size * CLASSES)
+        total = np.stack([np.bincount(classes, t, CLASSES) for t in table])
+        table = (table + BY_CLASS * share) / (total[:, classes] + BY_CLASS)
         self.size, self.classes = size, classes
         value = np.log((counts + BY_ID * table[before, right]) / (follow[left * CLASSES + into] + BY_ID))
         self.seen = Table((pairs, np.arange(len(pairs))))
@@ -196,13 +213,21 @@ class Shares:
         self.follow = np.log(BY_ID / (follow + BY_ID)).astype(np.float32)
 
     def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return self.look(left, right)[0]
+
+    def look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Natural log shares, as of count 0 where a pair isn't in the table; the places, pairs and coarse shares of those.
+
+        A pair of which the count is c after all gains log(1 + c / (BY_ID * its coarse share)).
+        """
         left = left.astype(np.int64)
         at = self.seen(left * self.size + right)
         out = self.value[at] if len(self.value) else np.zeros(len(left), np.float32)
         new = np.flatnonzero(at < 0)
         a, b = left[new], right[new]
-        out[new] = self.coarse[self.classes[a] * self.size + b] + self.follow[a * CLASSES + self.classes[b]]
-        return out
+        coarse = self.coarse[self.classes[a] * self.size + b]
+        out[new] = coarse + self.follow[a * CLASSES + self.classes[b]]
+        return out, new, a * self.size + b, coarse
 
 
 @dataclass
@@ -262,6 +287,10 @@ class AttentionModel:
 
     def score(self, batch: Batch, step: int = 128) -> np.ndarray:
         """log10 probability of each row."""
+        return self.score_known(batch, step)[0]
+
+    def score_known(self, batch: Batch, step: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of each row by the pairs in the table; row, pair and coarse share of every occurrence of another pair."""
         if not hasattr(self, "query"):
             self.tables()
         ids, ends = batch.ids, batch.ends
@@ -271,10 +300,20 @@ class AttentionModel:
         flat = np.concatenate(parts) if parts else np.zeros(0)
         total = segment_sum(flat, np.searchsorted(row, np.arange(len(ends))))
         left, right, word = batch.inner()
-        inner = np.bincount(word, self.shares(left, right), len(batch.size))
+        share, new, pair, coarse = self.shares.look(left, right)
+        inner = np.bincount(word, share, len(batch.size))
         total += segment_sum(inner[batch.codes], batch.offsets)
+        # pairs of a word are in order of the words, and occur wherever the word does
+        per = np.bincount(word[new], minlength=len(batch.size))
+        first, n = np.cumsum(per) - per, per[batch.codes]
+        stop = np.cumsum(n)
+        at = np.repeat(first[batch.codes] - (stop - n), n) + np.arange(int(stop[-1]) if len(stop) else 0)
+        rows = np.repeat(row_of(batch.offsets), n)
         left, right, row = batch.outer()
-        return (total + np.bincount(row, self.shares(left, right), len(total))) / np.log(10)
+        share, new, pair_, coarse_ = self.shares.look(left, right)
+        rows, pair, coarse = np.concatenate([rows, row[new]]), np.concatenate([pair[at], pair_]), np.concatenate([coarse[at], coarse_])
+        order = np.argsort(rows, kind="stable")
+        return (total + np.bincount(row, share, len(total))) / np.log(10), rows[order], pair[order], coarse[order]
 
 
 def id_classes(windows: np.ndarray, counts: np.ndarray, seed: int = 5) -> np.ndarray:
@@ -315,11 +354,14 @@ def id_classes(windows: np.ndarray, counts: np.ndarray, seed: int = 5) -> np.nda
     return out
 
 
-def train(windows: np.ndarray, pairs: np.ndarray, often: np.ndarray, n: int, passes: int = 0, batch: int = 64, rate: float = 0.03, seed: int = 3) -> AttentionModel:
-    """Train on rows of 2 * STRIDE + 1 ids below n; ``often`` counts the neighbouring ids of all training texts."""
+def train(windows: np.ndarray, pairs: np.ndarray, often: np.ndarray, n: int, passes: int = 0, batch: int = 64, rate: float = 0.03, seed: int = 3, every: tuple[np.ndarray, np.ndarray, tuple] | None = None) -> AttentionModel:
+    """Train on rows of 2 * STRIDE + 1 ids below n; ``often`` counts the neighbouring ids of all training texts.
+
+    If ``pairs`` aren't all, ``every`` holds the ids' counts, classes and ``class_sums`` over all of them.
+    """
     passes = passes or max(5, min(14, 360_000 // max(len(windows), 1)))
-    counts = np.bincount(pairs % n, often, n)
-    classes = id_classes(windows, counts)
+    counts, classes, sums = every or (np.bincount(pairs % n, often, n), None, None)
+    classes = id_classes(windows, counts) if classes is None else classes
     draw = np.random.default_rng(seed)
 
     def init(*shape: int) -> np.ndarray:
@@ -375,7 +417,7 @@ def train(windows: np.ndarray, pairs: np.ndarray, often: np.ndarray, n: int, pas
             m, u = moment["embed"]
             u[seen] += grad * grad
             w["embed"][seen] -= np.float32(5) * pace * grad / (np.sqrt(u[seen]) + 1e-7)
-    return AttentionModel(w, classes, Shares(classes, pairs, often))
+    return AttentionModel(w, classes, Shares(classes, pairs, often, sums))
 
 
 def count_corpus(docs: DataFrame, path: str) -> DataFrame:
@@ -403,6 +445,31 @@ def _floor(counts: DataFrame, most: int) -> int:
     return 1 if len(few) == len(spread) else int(few["c"].min()) if len(few) else 1_000_001
 
 
+def _totals(pairs: DataFrame, windows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Counts of ids, their classes, and ``class_sums``, over all pairs; every result is of the vocabulary's size."""
+
+    def summed(key: Column | str, n: int) -> np.ndarray:
+        got = pairs_.groupBy(F.col(key).alias("key")).agg(F.sum("c").alias("c")).toArrow()
+        out = np.zeros(n)
+        out[got["key"].to_numpy()] = got["c"].to_numpy()
+        return out
+
+    pairs_ = pairs.withColumn("right", F.col("pair") % size)
+    counts = summed("right", size)
+    classes = id_classes(windows, counts)
+    shared = pairs.sparkSession.sparkContext.broadcast(classes)
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            table, follow = pair_keys(shared.value, batch.column(0).to_numpy())
+            return record("", table=table, follow=follow, c=batch.column(1))
+
+        return step
+
+    pairs_ = pairs.select("pair", "c").mapInArrow(per_batch(make), "table long, follow long, c long")
+    return counts, classes, (summed("table", CLASSES * size), summed("follow", CLASSES * size))
+
+
 def _windows(docs: DataFrame, path: str, total: int) -> np.ndarray:
     """Training windows from documents drawn by hash over the whole corpus."""
     rate = min(1.0, FIT_DOCS / max(total, 1))
@@ -443,8 +510,11 @@ def score_documents(docs: DataFrame, learn: Column, path: str, doc_id: str = "do
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total.n + rows, total.v + (rows > 0)  # with the end token
     size = subwords(path).end + 1
-    often = pairs.filter(F.col("c") >= _floor(pairs, BROADCAST_PAIRS)).toArrow().sort_by("pair")
-    model = train(_windows(train_docs, path, rows), often["pair"].to_numpy(), often["c"].to_numpy(), size)
+    pair_floor = _floor(pairs, BROADCAST_PAIRS)
+    often = pairs.filter(F.col("c") >= pair_floor).toArrow().sort_by("pair")
+    windows, all_pairs = _windows(train_docs, path, rows), pair_floor == 1
+    every = None if all_pairs else _totals(pairs, windows, size)
+    model = train(windows, often["pair"].to_numpy(), often["c"].to_numpy(), size, every=every)
     floor = _floor(counts, BROADCAST_WORDS)
 
     def hashed():
@@ -473,17 +543,26 @@ def score_documents(docs: DataFrame, learn: Column, path: str, doc_id: str = "do
             base = segment_sum(word_score[codes], offsets) + np.log10(end_count + 1.0) - norm
             row, word = row_of(offsets)[left], codes[left]
             lists = pa.ListArray.from_arrays(np.searchsorted(row, np.arange(len(offsets))).astype(np.int32), dictionary.take(pa.array(word)).cast(pa.string()))
-            return record("", doc_id=batch.column(0), n_tokens=count.astype(np.int64), n_known=known.astype(np.int64), base_score=base, score=model.score(Batch(path, codes, offsets, dictionary)), rare=lists)
+            score, owner, pair, coarse = model.score_known(Batch(path, codes, offsets, dictionary))
+            ends = np.searchsorted(owner, np.arange(len(offsets)) if not all_pairs else np.zeros(len(offsets))).astype(np.int32)
+            far, share = (pa.ListArray.from_arrays(ends, pa.array(x[: ends[-1]])) for x in (pair, coarse))
+            return record("", doc_id=batch.column(0), n_tokens=count.astype(np.int64), n_known=known.astype(np.int64), base_score=base, score=score, rare=lists, pairs=far, coarse=share)
 
         return step
 
-    scored = docs.mapInArrow(per_batch(make), "doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<string>")
+    scored = docs.mapInArrow(per_batch(make), "doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<string>, pairs array<long>, coarse array<float>")
     kept = F.lit(int(n)).cast("long").alias("train_tokens")
-    if whole:
+    if whole and all_pairs:
         return scored.select("doc_id", "n_tokens", "n_known", kept, "base_score", "score")
     scored.withColumn("row", F.monotonically_increasing_id()).write.parquet(f"{folder}/scored")
     scored = spark.read.parquet(f"{folder}/scored")
-    rare = scored.select("row", F.explode("rare").alias("word")).join(counts.filter(F.col("c") < floor), "word")
-    more = rare.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("gain"))
-    out = scored.drop("rare").join(more, "row", "left")
-    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), kept, (F.col("base_score") + F.coalesce("gain", F.lit(0.0))).alias("base_score"), "score")
+    none = F.lit(0.0)
+    rare = scored.select("row", F.explode("rare").alias("word")).join(counts.filter(F.col("c") < floor), "word").select("row", F.lit(1).alias("more"), F.log10(F.col("c") + 1.0).alias("base"), none.alias("own"))
+    if not all_pairs:
+        far = scored.select("row", F.explode(F.arrays_zip("pairs", "coarse")).alias("p")).select("row", "p.pairs", "p.coarse")
+        far = far.join(pairs.filter(F.col("c") < pair_floor).withColumnRenamed("pair", "pairs"), "pairs")
+        far = far.select("row", F.lit(0).alias("more"), none.alias("base"), (F.log1p(F.col("c") / BY_ID * F.exp(-F.col("coarse").cast("double"))) / F.lit(float(np.log(10)))).alias("own"))
+        rare = far if whole else rare.union(far)
+    more = rare.groupBy("row").agg(F.sum("more").alias("more"), F.sum("base").alias("base"), F.sum("own").alias("own"))
+    out = scored.drop("rare", "pairs", "coarse").join(more, "row", "left")
+    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), kept, *((F.col(a) + F.coalesce(b, none)).alias(a) for a, b in (("base_score", "base"), ("score", "own"))))
