@@ -111,3 +111,23 @@ def test_pairs_beyond_the_broadcast_count(spark, path, make_text, monkeypatch):
         got = lm.score_documents(docs, ~held_out(F.col("doc_id"), 7, 2), path("byte_bpe_50k.tiktoken")).collect()
         scores.append([r.score for r in sorted(got, key=lambda r: r.doc_id)])
     assert np.allclose(scores[0], scores[1], rtol=1e-5) and np.allclose(scores[0], scores[2], rtol=1e-5)
+
+
+def test_windows_hold_every_token_once():
+    ids, ends = np.arange(1, 72, dtype=np.int32), np.array([0, 1, 33, 71])
+    got = lm.cut_windows(ids, ends)
+    assert sorted(got[:, 1:][got[:, 1:] >= 0].tolist()) == ids.tolist() and got.shape == (4, 2 * lm.STRIDE + 1)
+    assert got[0, :2].tolist() == [1, 1] and got[1, 0] == 33 and got[2, 0] == 71 and got[3, 0] == ids[33 + 31]
+
+
+def test_weights_learn_from_all_texts(spark, path, make_text, monkeypatch):
+    """A sentence in one training text that the first training doesn't draw still moves its ids' embeddings."""
+    monkeypatch.setattr(lm, "FIT_WINDOWS", 0)
+    docs = spark.createDataFrame([(i, make_text(i, 40)) for i in range(30)] + [(99, "zebra quagmire")], "doc_id long, text string").repartition(3)
+    p = path("byte_bpe_50k.tiktoken")
+    batch = lm.Batch(p, *words(pa.array([r.text for r in docs.collect()], pa.large_string())))
+    size = lm.subwords(p).end + 1
+    pairs, often = batch.pair_counts(size)
+    before, after = (lm.train(np.zeros((0, 2 * lm.STRIDE + 1), np.int64), pairs, often, size, more=more) for more in (None, lambda a, c: lm._learn_all(docs, p, a, c)))
+    moved = np.flatnonzero((before.weights["embed"] != after.weights["embed"]).any(1))
+    assert set(moved.tolist()) == set(batch.ids.tolist())

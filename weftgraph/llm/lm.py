@@ -9,8 +9,11 @@ The model has one attention layer: embeddings, queries, keys and values, a bias
 for each distance, a tanh layer over attention output and the last embedding,
 and a softmax over classes of ids.  Within its class an id has its share of
 what follows the id before it in all training texts, smoothed by what follows
-that id's class, smoothed by the id's own share.  Weights are trained in numpy
-on bounded windows drawn from the whole training corpus; all counts cover it.
+that id's class, smoothed by the id's own share.  Weights are
+trained in numpy: first on windows drawn from the whole training corpus, to have
+one model to go on from, then in every partition on the windows of all training
+texts, after which the partitions' weights are averaged.  An id's embedding is
+averaged by how often each partition met it.  All counts cover all texts.
 
 Scoring runs over blocks of ``STRIDE`` tokens, each in a window that also holds
 the ``STRIDE`` tokens before it, batched with causal and padding masks: every
@@ -32,9 +35,10 @@ N = V = 0 and the model is untrained; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import copy
 import uuid
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -44,15 +48,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import bounded_batches, only, per_batch, record, row_of, segment_sum, shared_dir, texts, word_hashes, words
+from .columns import bounded_batches, give_back, only, per_batch, record, row_of, segment_sum, shared_dir, texts, word_hashes, words
 from .pieces import Table
 
 STRIDE, WIDTH = 16, 16
 HIDDEN, CLASSES, FREQUENT = 28, 128, 100
 #: Weight of the coarser share when shares are smoothed: by class, by id.
 BY_CLASS, BY_ID = 60.0, 10.0
-#: Documents and windows that weights are trained on at most, drawn by hash from all training texts.
+#: Documents and windows of the first training, on the driver, at most; drawn by hash from all training texts.
 FIT_DOCS, FIT_WINDOWS = 4500, 60_000
+#: Windows of a training step; pace of the first one, and the part of it that the last and all later ones have.
+STEP_WINDOWS, PACE, SLOWEST = 64, 0.03, 0.1
+#: Embeddings that are averaged together.
+AVERAGED = 1024
 #: Word counts that are broadcast at most.
 BROADCAST_WORDS = 1_500_000
 CACHED_WORDS = 250_000
@@ -189,6 +197,36 @@ def class_sums(classes: np.ndarray, pairs: np.ndarray, counts: np.ndarray) -> tu
     return tuple(np.bincount(k, counts, CLASSES * len(classes)) for k in pair_keys(classes, pairs))
 
 
+def cut_windows(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Windows of 2 * STRIDE + 1 ids that hold every id of each row once as a target; -1 fills up the last one of a row."""
+    length = 2 * STRIDE
+    n = np.diff(ends)
+    count = -(-n // length)
+    row = row_of(np.concatenate([[0], np.cumsum(count)]))
+    at = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))[:, None] * length + np.arange(length + 1)
+    place = ends[:-1][row][:, None] + at - 1
+    place[at == 0] = ends[1:][row[(at == 0).any(1)]] - 1  # the end id stands before each row
+    return np.where(at <= n[row][:, None], ids[np.minimum(place, len(ids) - 1)], -1).astype(np.int64) if len(ids) else np.zeros((0, length + 1), np.int64)
+
+
+def context_keys(counts: np.ndarray, pairs: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place * 514 + slot of a neighbour, count) for each side of pairs of ids that are neither frequent nor rare."""
+    rank = np.argsort(-counts, kind="stable")
+    slot, place = np.full(len(counts), 256, np.int64), np.full(len(counts), -1, np.int64)
+    slot[rank[:256]] = np.arange(256)
+    mid = _middle(counts)
+    place[mid] = np.arange(len(mid))
+    a, b = pairs // len(counts), pairs % len(counts)
+    right, left = np.flatnonzero(place[b] >= 0), np.flatnonzero(place[a] >= 0)
+    key = np.concatenate([place[b[right]] * 514 + slot[a[right]], place[a[left]] * 514 + 257 + slot[b[left]]])
+    return key, np.concatenate([often[right], often[left]])
+
+
+def _middle(counts: np.ndarray) -> np.ndarray:
+    mid = np.argsort(-counts, kind="stable")[FREQUENT : FREQUENT + 6000]
+    return mid[counts[mid] > 0]
+
+
 class Shares:
     """P(id | its class, the id before it) from counts of neighbouring ids.
 
@@ -316,25 +354,14 @@ class AttentionModel:
         return (total + np.bincount(row, share, len(total))) / np.log(10), rows[order], pair[order], coarse[order]
 
 
-def id_classes(windows: np.ndarray, counts: np.ndarray, seed: int = 5) -> np.ndarray:
-    """A class for each id: frequent ids alone, other seen ids by k-means on their neighbours, the rest by a hash."""
+def id_classes(feature: np.ndarray, counts: np.ndarray, seed: int = 5) -> np.ndarray:
+    """A class for each id: frequent ids alone, other seen ids by k-means on counts of their neighbours, the rest by a hash."""
     n = len(counts)
-    rank = np.argsort(-counts, kind="stable")
     out = np.full(n, -1, np.int64)
-    out[rank[:FREQUENT]] = np.arange(FREQUENT)
+    out[np.argsort(-counts, kind="stable")[:FREQUENT]] = np.arange(FREQUENT)
     groups = CLASSES - FREQUENT - 8
-    mid = rank[FREQUENT : FREQUENT + 6000]
-    mid = mid[counts[mid] > 0]
-    slot = np.full(n, 256, np.int64)
-    slot[rank[:256]] = np.arange(256)
-    place = np.full(n, -1, np.int64)
-    place[mid] = np.arange(len(mid))
-    feature = np.zeros((len(mid), 2 * 257))
-    a, b = windows[:, :-1].ravel(), windows[:, 1:].ravel()
-    hit = place[b] >= 0
-    np.add.at(feature, (place[b[hit]], slot[a[hit]]), 1)
-    hit = place[a] >= 0
-    np.add.at(feature, (place[a[hit]], 257 + slot[b[hit]]), 1)
+    mid = _middle(counts)
+    feature = feature[: len(mid) * 514].reshape(-1, 514)
     feature = np.log1p(feature)
     feature /= np.maximum(np.linalg.norm(feature, axis=1, keepdims=True), 1e-9)
     if len(mid) > groups:
@@ -354,70 +381,135 @@ def id_classes(windows: np.ndarray, counts: np.ndarray, seed: int = 5) -> np.nda
     return out
 
 
-def train(windows: np.ndarray, pairs: np.ndarray, often: np.ndarray, n: int, passes: int = 0, batch: int = 64, rate: float = 0.03, seed: int = 3, every: tuple[np.ndarray, np.ndarray, tuple] | None = None) -> AttentionModel:
+class Learner:
+    """Weights with the running moments of their gradients: Adam, and Adagrad for the embeddings."""
+
+    def __init__(self, n: int, share: np.ndarray, seed: int):
+        draw = np.random.default_rng(seed)
+
+        def init(*shape: int) -> np.ndarray:
+            return draw.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
+
+        self.w = {
+            "embed": draw.normal(0, 0.3, (n, WIDTH)).astype(np.float32), "query": init(WIDTH, WIDTH), "key": init(WIDTH, WIDTH), "value": init(WIDTH, WIDTH), "mix": init(WIDTH, HIDDEN),
+            "rest": init(WIDTH, HIDDEN), "shift": np.zeros(HIDDEN, np.float32), "bias": np.zeros(2 * STRIDE, np.float32), "out": init(HIDDEN, CLASSES) * 0.5, "lift": np.log(share / share.sum()).astype(np.float32),
+        }
+        self.moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items() if k != "embed"}
+        self.met = np.zeros((n, WIDTH), np.float32)
+        self.done, self.draw = 0, draw
+
+    def step(self, windows: np.ndarray, classes: np.ndarray, pace: float) -> None:
+        """One step on windows of ids, of which those below 0 are no targets."""
+        w, length = self.w, 2 * STRIDE
+        i, j = np.arange(length)[:, None], np.arange(length)[None, :]
+        gap, mask = np.maximum(i - j, 0), i >= j
+        live = windows[:, 1:] >= 0
+        windows = np.maximum(windows, 0)
+        x, y = windows[:, :-1], classes[windows[:, 1:]]
+        e = w["embed"][x]
+        q, k, v = e @ w["query"] / np.float32(np.sqrt(WIDTH)), e @ w["key"], e @ w["value"]
+        s = np.where(mask, q @ k.transpose(0, 2, 1) + w["bias"][gap], np.float32(-1e9))
+        a = np.exp(s - s.max(2, keepdims=True))
+        a /= a.sum(2, keepdims=True)
+        o = a @ v
+        h = np.tanh(o @ w["mix"] + e @ w["rest"] + w["shift"])
+        p = h.reshape(-1, HIDDEN) @ w["out"] + w["lift"]
+        p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(y.size), y.ravel()] -= 1
+        p *= (live.ravel() / np.float32(live.sum()))[:, None].astype(np.float32)
+        dh = (p @ w["out"].T).reshape(h.shape) * (1 - h * h)
+        do = dh @ w["mix"].T
+        da = do @ v.transpose(0, 2, 1)
+        ds = a * (da - (da * a).sum(2, keepdims=True))
+        dq, dk, dv = ds @ k / np.float32(np.sqrt(WIDTH)), ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do
+        flat = e.reshape(-1, WIDTH)
+        de = dq @ w["query"].T + dk @ w["key"].T + dv @ w["value"].T + dh @ w["rest"].T
+        g = {
+            "query": flat.T @ dq.reshape(-1, WIDTH), "key": flat.T @ dk.reshape(-1, WIDTH), "value": flat.T @ dv.reshape(-1, WIDTH), "mix": o.reshape(-1, WIDTH).T @ dh.reshape(-1, HIDDEN),
+            "rest": flat.T @ dh.reshape(-1, HIDDEN), "shift": dh.sum((0, 1)), "out": h.reshape(-1, HIDDEN).T @ p, "lift": p.sum(0),
+            "bias": np.bincount(gap[mask], ds.sum(0)[mask], length).astype(np.float32),
+        }
+        self.done += 1
+        pace = np.float32(pace)
+        for name, grad in g.items():
+            m, u = self.moment[name]
+            m += 0.1 * (grad - m)
+            u += 0.01 * (grad * grad - u)
+            w[name] -= pace * (m / (1 - 0.9**self.done)) / (np.sqrt(u / (1 - 0.99**self.done)) + 1e-7)
+        seen, where = np.unique(x, return_inverse=True)
+        grad = np.zeros((len(seen), WIDTH), np.float32)
+        np.add.at(grad, where.ravel(), de.reshape(-1, WIDTH))
+        self.met[seen] += grad * grad
+        w["embed"][seen] -= np.float32(5) * pace * grad / (np.sqrt(self.met[seen]) + 1e-7)
+
+    def learn(self, windows: np.ndarray, classes: np.ndarray, passes: int, batch: int = STEP_WINDOWS, rate: float = PACE, fall: bool = True) -> None:
+        """Passes over windows in a drawn order; the pace falls to its slowest part, or is that from the start."""
+        each = -(-len(windows) // batch)
+        done = 0
+        for _ in range(passes if len(windows) else 0):
+            for some in np.array_split(self.draw.permutation(len(windows)), each):
+                done += 1
+                self.step(windows[some], classes, rate * (1 - (1 - SLOWEST) * done / (passes * each)) if fall else rate * SLOWEST)
+
+
+def train(windows: np.ndarray, pairs: np.ndarray, often: np.ndarray, n: int, passes: int = 0, batch: int = STEP_WINDOWS, rate: float = PACE, seed: int = 3, every: tuple[np.ndarray, np.ndarray, tuple] | None = None, more: Callable[[Learner, np.ndarray], None] | None = None) -> AttentionModel:
     """Train on rows of 2 * STRIDE + 1 ids below n; ``often`` counts the neighbouring ids of all training texts.
 
     If ``pairs`` aren't all, ``every`` holds the ids' counts, classes and ``class_sums`` over all of them.
+    ``more`` goes on with the learner.
     """
     passes = passes or max(5, min(14, 360_000 // max(len(windows), 1)))
     counts, classes, sums = every or (np.bincount(pairs % n, often, n), None, None)
-    classes = id_classes(windows, counts) if classes is None else classes
-    draw = np.random.default_rng(seed)
-
-    def init(*shape: int) -> np.ndarray:
-        return draw.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
-
-    share = np.bincount(classes, counts, CLASSES) + 1
-    w = {
-        "embed": draw.normal(0, 0.3, (n, WIDTH)).astype(np.float32), "query": init(WIDTH, WIDTH), "key": init(WIDTH, WIDTH), "value": init(WIDTH, WIDTH), "mix": init(WIDTH, HIDDEN),
-        "rest": init(WIDTH, HIDDEN), "shift": np.zeros(HIDDEN, np.float32), "bias": np.zeros(2 * STRIDE, np.float32), "out": init(HIDDEN, CLASSES) * 0.5, "lift": np.log(share / share.sum()).astype(np.float32),
-    }
-    moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
-    length = 2 * STRIDE
-    i, j = np.arange(length)[:, None], np.arange(length)[None, :]
-    gap, mask = np.maximum(i - j, 0), i >= j
-    steps, done = passes * -(-len(windows) // batch), 0
-    for _ in range(passes if len(windows) else 0):
-        for some in np.array_split(draw.permutation(len(windows)), -(-len(windows) // batch)):
-            x, y = windows[some, :-1], classes[windows[some, 1:]]
-            e = w["embed"][x]
-            q, k, v = e @ w["query"] / np.float32(np.sqrt(WIDTH)), e @ w["key"], e @ w["value"]
-            s = np.where(mask, q @ k.transpose(0, 2, 1) + w["bias"][gap], np.float32(-1e9))
-            a = np.exp(s - s.max(2, keepdims=True))
-            a /= a.sum(2, keepdims=True)
-            o = a @ v
-            h = np.tanh(o @ w["mix"] + e @ w["rest"] + w["shift"])
-            logits = h @ w["out"] + w["lift"]
-            p = np.exp(logits - logits.max(2, keepdims=True))
-            p /= p.sum(2, keepdims=True)
-            p[np.arange(len(x))[:, None], np.arange(length)[None, :], y] -= 1
-            p /= np.float32(y.size)
-            dh = (p @ w["out"].T) * (1 - h * h)
-            do = dh @ w["mix"].T
-            da = do @ v.transpose(0, 2, 1)
-            ds = a * (da - (da * a).sum(2, keepdims=True))
-            dq, dk, dv = ds @ k / np.float32(np.sqrt(WIDTH)), ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do
-            flat = e.reshape(-1, WIDTH)
-            de = dq @ w["query"].T + dk @ w["key"].T + dv @ w["value"].T + dh @ w["rest"].T
-            g = {
-                "query": flat.T @ dq.reshape(-1, WIDTH), "key": flat.T @ dk.reshape(-1, WIDTH), "value": flat.T @ dv.reshape(-1, WIDTH), "mix": o.reshape(-1, WIDTH).T @ dh.reshape(-1, HIDDEN),
-                "rest": flat.T @ dh.reshape(-1, HIDDEN), "shift": dh.sum((0, 1)), "out": h.reshape(-1, HIDDEN).T @ p.reshape(-1, CLASSES), "lift": p.sum((0, 1)),
-                "bias": np.bincount(gap[mask], ds.sum(0)[mask], length).astype(np.float32),
-            }
-            done += 1
-            pace = np.float32(rate * (1 - 0.9 * done / steps))
-            for name, grad in g.items():
-                m, u = moment[name]
-                m += 0.1 * (grad - m)
-                u += 0.01 * (grad * grad - u)
-                w[name] -= pace * (m / (1 - 0.9**done)) / (np.sqrt(u / (1 - 0.99**done)) + 1e-7)
-            seen, where = np.unique(x, return_inverse=True)
-            grad = np.zeros((len(seen), WIDTH), np.float32)
-            np.add.at(grad, where.ravel(), de.reshape(-1, WIDTH))
-            m, u = moment["embed"]
-            u[seen] += grad * grad
-            w["embed"][seen] -= np.float32(5) * pace * grad / (np.sqrt(u[seen]) + 1e-7)
-    return AttentionModel(w, classes, Shares(classes, pairs, often, sums))
+    if classes is None:
+        classes = id_classes(np.bincount(*context_keys(counts, pairs, often), 6000 * 514), counts)
+    learner = Learner(n, np.bincount(classes, counts, CLASSES) + 1, seed)
+    learner.learn(windows, classes, passes, batch, rate)
+    if more:
+        more(learner, classes)
+    return AttentionModel(learner.w, classes, Shares(classes, pairs, often, sums))
+
+
+def _learn_all(docs: DataFrame, path: str, learner: Learner, classes: np.ndarray) -> None:
+    """Go on in each partition with the windows of all its texts; average the weights."""
+    shared = docs.sparkSession.sparkContext.broadcast((learner, classes))
+    names = [k for k in learner.w if k != "embed"]
+    size = len(learner.w["embed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, classes = shared.value
+        own, often, n = copy.deepcopy(start), np.zeros(size, np.int64), 0
+        for batch in batches:
+            windows = cut_windows(*token_ids(path, *words(texts(batch, "text"))))
+            own.learn(windows, classes, 1, fall=False)
+            often += np.bincount(windows[:, :-1][windows[:, :-1] >= 0], minlength=size)
+            n += len(windows)
+        if n:
+            moved = [np.concatenate([(own.w[k] - start.w[k]).ravel() for k in names])[:, None]]
+            weight = [np.full(len(moved[0]), n, np.float64)]
+            for k in range(0, size, AVERAGED):
+                moved.append((own.w["embed"] - start.w["embed"])[k : k + AVERAGED])
+                weight.append(often[k : k + AVERAGED].astype(np.float64))
+            for part, (m, c) in enumerate(zip(moved, weight, strict=True)):
+                yield record("", part=[part], moved=[(m * c[:, None]).astype("<f8").tobytes()], n=[c.astype("<f8").tobytes()])
+        give_back()
+
+    def add(table: pa.Table) -> pa.Table:
+        sums = {k: sum(np.frombuffer(x, "<f8") for x in table[k].to_pylist()) for k in ("moved", "n")}
+        return pa.table({"part": table["part"].slice(0, 1), **{k: pa.array([v.tobytes()], pa.binary()) for k, v in sums.items()}})
+
+    schema = "part long, moved binary, n binary"
+    for r in docs.select("text").mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).collect():  # a row per AVERAGED ids
+        moved, n = np.frombuffer(r.moved, "<f8"), np.frombuffer(r.n, "<f8")
+        mean = (moved.reshape(len(n), -1) / np.maximum(n, 1)[:, None]).astype(np.float32)
+        if r.part:
+            learner.w["embed"][(r.part - 1) * AVERAGED :][: len(mean)] += mean
+        else:
+            at = 0
+            for k in names:
+                learner.w[k] += mean[at : at + learner.w[k].size].reshape(learner.w[k].shape)
+                at += learner.w[k].size
 
 
 def count_corpus(docs: DataFrame, path: str) -> DataFrame:
@@ -445,29 +537,28 @@ def _floor(counts: DataFrame, most: int) -> int:
     return 1 if len(few) == len(spread) else int(few["c"].min()) if len(few) else 1_000_001
 
 
-def _totals(pairs: DataFrame, windows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+def _totals(pairs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
     """Counts of ids, their classes, and ``class_sums``, over all pairs; every result is of the vocabulary's size."""
+    spark = pairs.sparkSession
+
+    def summed(keys: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+        def make():
+            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+                key, c = keys(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+                return record("", key=key, c=c)
+
+            return step
 
-    def summed(key: Column | str, n: int) -> np.ndarray:
-        got = pairs_.groupBy(F.col(key).alias("key")).agg(F.sum("c").alias("c")).toArrow()
+        got = pairs.select("pair", "c").mapInArrow(per_batch(make), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).toArrow()
         out = np.zeros(n)
         out[got["key"].to_numpy()] = got["c"].to_numpy()
         return out
 
-    pairs_ = pairs.withColumn("right", F.col("pair") % size)
-    counts = summed("right", size)
-    classes = id_classes(windows, counts)
-    shared = pairs.sparkSession.sparkContext.broadcast(classes)
-
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            table, follow = pair_keys(shared.value, batch.column(0).to_numpy())
-            return record("", table=table, follow=follow, c=batch.column(1))
-
-        return step
-
-    pairs_ = pairs.select("pair", "c").mapInArrow(per_batch(make), "table long, follow long, c long")
-    return counts, classes, (summed("table", CLASSES * size), summed("follow", CLASSES * size))
+    counts = summed(lambda pair, c: (pair % size, c), size)
+    shared = spark.sparkContext.broadcast(counts)
+    classes = id_classes(summed(lambda pair, c: context_keys(shared.value, pair, c), 6000 * 514), counts)
+    known = spark.sparkContext.broadcast(classes)
+    return counts, classes, tuple(summed(lambda pair, c, k=k: (pair_keys(known.value, pair)[k], c), CLASSES * size) for k in range(2))
 
 
 def _windows(docs: DataFrame, path: str, total: int) -> np.ndarray:
@@ -479,15 +570,9 @@ def _windows(docs: DataFrame, path: str, total: int) -> np.ndarray:
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, ends = token_ids(path, *words(texts(batch, "text")))
-            inputs, _, _, _ = blocks(ids, ends)
-            out, owner = [], []
-            for row, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-                full = np.concatenate([inputs[a : a + 1], ids[a:b]])
-                for k in range(0, max(1, len(full) - length + 1), length - 1):
-                    w = full[k : k + length]
-                    out.append(np.pad(w, (0, length - len(w)), constant_values=ids[b - 1]).astype("<i4").tobytes())
-                    owner.append(batch.column(0)[row].as_py())
-            return record("", doc_id=pa.array(owner, pa.int64()), w=pa.array(out, pa.binary()))
+            windows = cut_windows(ids, ends).astype("<i4")
+            owner = batch.column(0).take(pa.array(np.repeat(np.arange(len(ends) - 1), -(-np.diff(ends) // (length - 1)))))
+            return record("", doc_id=owner, w=pa.array([w.tobytes() for w in windows], pa.binary()))
 
         return step
 
@@ -513,8 +598,8 @@ def score_documents(docs: DataFrame, learn: Column, path: str, doc_id: str = "do
     pair_floor = _floor(pairs, BROADCAST_PAIRS)
     often = pairs.filter(F.col("c") >= pair_floor).toArrow().sort_by("pair")
     windows, all_pairs = _windows(train_docs, path, rows), pair_floor == 1
-    every = None if all_pairs else _totals(pairs, windows, size)
-    model = train(windows, often["pair"].to_numpy(), often["c"].to_numpy(), size, every=every)
+    every = None if all_pairs else _totals(pairs, size)
+    model = train(windows, often["pair"].to_numpy(), often["c"].to_numpy(), size, every=every, more=lambda learner, classes: _learn_all(train_docs, path, learner, classes))
     floor = _floor(counts, BROADCAST_WORDS)
 
     def hashed():
