@@ -212,3 +212,20 @@ def test_chats(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_items_that_share_a_passage_are_found():
+    """Every pair at or above the threshold, as by brute force, where most shingles of an item are shared."""
+    passage = [f"p{i}" for i in range(204)]
+    items = [" ".join(passage + [f"q{k}x{i}" for i in range(15)]) for k in range(10)]
+    index = decontaminate.ItemIndex.build(list(range(10)), items)
+    for seed in range(20):
+        for k in range(10):
+            own = [f"q{k}x{i}" if i < 14 else f"z{seed}x{i}" for i in range(15)]
+            flat, _ = decontaminate.item_shingles(pa.array([" ".join(passage + own)], pa.large_string()))
+            weight = index.weigh(flat)[0]
+            expected = {j for j in range(10) if index.similarity(flat, weight, j) >= decontaminate.LEAST}
+            assert k in expected and {m[0] for m in index.matches(flat)} == expected
+    changed = " ".join(passage + [f"q3x{i}" if i < 10 else f"y{i}" for i in range(15)])
+    flat, _ = decontaminate.item_shingles(pa.array([changed], pa.large_string()))
+    assert {m[0] for m in index.matches(flat, 0.6)} == {j for j in range(10) if index.similarity(flat, index.weigh(flat)[0], j) >= 0.6}

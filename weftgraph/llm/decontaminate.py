@@ -6,7 +6,10 @@ item length, windows of that many shingles slide over a text, by one shingle at
 a time.  A window's 64-bit SimHash is looked up in the items' fingerprints: four
 blocks of 16 bits, of which at least one lies within RADIUS // 4 bits if the
 whole lies within RADIUS, so the index holds every block value that near, and
-finds every fingerprint within RADIUS.  Candidates are verified by the exact
+finds every fingerprint within RADIUS.  Shingles count in it by the square root
+of their weights, so that its angle is of the weights themselves.  As any radius
+loses some, a window is also a candidate for each item with which it shares
+enough weight, by the items' shingle lists.  Candidates are verified by the exact
 weighted Jaccard similarity of the shingle multisets; at least ``least`` counts.
 
 Windows that can't be similar are left out beforehand without loss: a window of
@@ -64,6 +67,12 @@ def fold_bits(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").ravel()
 
 
+def _runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of a sorted array, and where each one's run starts and ends."""
+    values, first = np.unique(a, return_index=True)
+    return values, first, np.append(first, len(a))[1:]
+
+
 @dataclass
 class ItemIndex:
     """Items' shingles with weights, their fingerprints, and per block the items near each value."""
@@ -77,6 +86,8 @@ class ItemIndex:
     near: list[tuple[np.ndarray, np.ndarray]]
     radius: int = RADIUS
     mass: np.ndarray | None = None
+    #: Per known shingle, where its items start, and the items.
+    lists: tuple[np.ndarray, np.ndarray] | None = None
 
     @classmethod
     def build(cls, item_ids: list, texts_: list[str], width: int = WIDTH, radius: int = RADIUS) -> ItemIndex:
@@ -91,7 +102,11 @@ class ItemIndex:
         out = cls(item_ids, [], np.array([len(r) for r in rows], np.int64), known, 1 / often, np.zeros(0, np.uint64), [], radius)
         out.sets = [dict(zip(*(x.tolist() for x in np.unique(r, return_counts=True)), strict=True)) for r in rows]
         out.mass = np.array([out.weigh(r)[0].sum() for r in rows], float)
-        out.prints = np.array([fold_bits((signs(r) * out.weigh(r)[0][:, None]).sum(0)[None])[0] for r in rows], np.uint64)
+        where = np.concatenate([np.searchsorted(out.known, np.unique(r)) for r in rows]) if rows else np.zeros(0, np.int64)
+        holder = np.repeat(np.arange(len(rows)), [len(x) for x in out.sets])
+        order = np.argsort(where, kind="stable")
+        out.lists = np.searchsorted(where[order], np.arange(len(out.known) + 1)), holder[order]
+        out.prints = np.array([fold_bits((signs(r) * np.sqrt(out.weigh(r)[0])[:, None]).sum(0)[None])[0] for r in rows], np.uint64)
         for block in range(4):
             value = (out.prints >> np.uint64(16 * block)).astype(np.uint16)
             values = (value[:, None] ^ _near(radius // 4)[None, :]).ravel()
@@ -122,6 +137,28 @@ class ItemIndex:
         pairs = np.unique(np.concatenate(found))
         return pairs // max(len(self.prints), 1), pairs % max(len(self.prints), 1)
 
+    def sharing(self, shingles: np.ndarray, weight: np.ndarray, hit: np.ndarray, start: np.ndarray, size: int, mass: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """All (window, item) pairs whose shared weight allows a similarity of ``least``."""
+        at = np.flatnonzero(hit)
+        first, items = self.lists
+        known = np.searchsorted(self.known, shingles[at])
+        n = first[known + 1] - first[known]
+        stop = np.cumsum(n)
+        item = items[np.repeat(first[known] - (stop - n), n) + np.arange(int(stop[-1]))]
+        place = np.repeat(at, n)
+        right = (self.sizes[item] == size) | ((size == len(shingles)) & (self.sizes[item] > size))
+        right &= (np.bincount(item, weight[place], len(self.sizes)) >= least * self.mass - 1e-9)[item]
+        order = np.argsort(item[right], kind="stable")
+        item, place = item[right][order], place[right][order]
+        windows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, a, b in zip(*(x.tolist() for x in _runs(item)), strict=True):
+            run = np.concatenate([[0], np.cumsum(weight[place[a:b]])])
+            shared = run[np.searchsorted(place[a:b], start + size)] - run[np.searchsorted(place[a:b], start)]
+            enough = np.flatnonzero(shared >= least * np.maximum(mass, self.mass[k]) - 1e-9)
+            windows.append(enough)
+            found.append(np.full(len(enough), k))
+        return np.concatenate(windows), np.concatenate(found)
+
     def similarity(self, window: np.ndarray, weight: np.ndarray, item: int) -> float:
         """Weighted Jaccard similarity of two shingle multisets."""
         own = self.sets[item]
@@ -157,8 +194,10 @@ class ItemIndex:
             window, item = self.candidates(prints)
             # a window stands for the items of its own length, or, if it is the whole text, for longer ones
             own = (self.sizes[item] == size) | ((size == len(shingles)) & (self.sizes[item] > size))
-            window, item = window[own], item[own]
             mass, shared = total[start + size] - total[start], held[start + size] - held[start]
+            more = self.sharing(shingles, weight, hit, start, size, mass, least)
+            pairs = np.unique(np.concatenate([window[own] * len(self.sizes) + item[own], more[0] * len(self.sizes) + more[1]]))
+            window, item = pairs // len(self.sizes), pairs % len(self.sizes)
             bound = np.minimum(shared[window], self.mass[item]) / np.maximum(mass[window], self.mass[item])
             for k in np.lexsort((window, -bound)).tolist():
                 s, item_ = int(start[window[k]]), int(item[k])
@@ -181,7 +220,7 @@ class ItemIndex:
         use = np.cumsum(near)[:-1] > 0
         place = np.concatenate([[0], np.cumsum(use)])
         sums = np.zeros((int(use.sum()) + 1, 64), np.float32)
-        np.cumsum(signs(shingles[use]) * weight[use][:, None], axis=0, out=sums[1:])
+        np.cumsum(signs(shingles[use]) * np.sqrt(weight[use])[:, None], axis=0, out=sums[1:])
         return place, sums
 
 
