@@ -229,3 +229,16 @@ def test_items_that_share_a_passage_are_found():
     changed = " ".join(passage + [f"q3x{i}" if i < 10 else f"y{i}" for i in range(15)])
     flat, _ = decontaminate.item_shingles(pa.array([changed], pa.large_string()))
     assert {m[0] for m in index.matches(flat, 0.6)} == {j for j in range(10) if index.similarity(flat, index.weigh(flat)[0], j) >= 0.6}
+
+
+def test_leaks_do_not_depend_on_slices(spark, monkeypatch):
+    """Weights count all items, in however many passes they are taken."""
+    passage = [f"p{i}" for i in range(30)]
+    texts_ = [" ".join(passage + [f"q{k}x{i}" for i in range(25)]) for k in range(12)]
+    bench = spark.createDataFrame(list(enumerate(texts_ + texts_[:2])), "item_id long, text string")
+    docs = spark.createDataFrame([(k * 30 + n, " ".join(passage + [f"q{k}x{i}" if i < 25 - n else f"z{i}" for i in range(25)])) for k in range(12) for n in range(8)], "doc_id long, text string")
+    found = []
+    for most in (2000, 3):
+        monkeypatch.setattr(decontaminate, "ITEMS", most)
+        found.append(sorted((r.doc_id, r.item_id, round(r.similarity, 9)) for r in decontaminate.leaks(docs, bench).collect()))
+    assert found[0] and found[0] == found[1]

@@ -17,7 +17,7 @@ which the shingles that any item holds make up less than ``least`` of its
 weight has a smaller similarity with every item.
 
 Items reach the executors as one index of bounded size; more items are taken in
-several passes.
+several passes, with the weights that all items together give.
 
 Defined cases: null and empty texts match nothing, nor do null items; texts or
 items of fewer words than a shingle count as one shingle; a text shorter than
@@ -35,6 +35,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,9 +89,12 @@ class ItemIndex:
     mass: np.ndarray | None = None
     #: Per known shingle, where its items start, and the items.
     lists: tuple[np.ndarray, np.ndarray] | None = None
+    #: Which known shingles these items hold, if others are known too.
+    own: np.ndarray | None = None
 
     @classmethod
-    def build(cls, item_ids: list, texts_: list[str], width: int = WIDTH, radius: int = RADIUS) -> ItemIndex:
+    def build(cls, item_ids: list, texts_: list[str], width: int = WIDTH, radius: int = RADIUS, shared: tuple[np.ndarray, np.ndarray] | None = None) -> ItemIndex:
+        """``shared``: the shingles that several of all items hold, ascending, and how many hold each; without it, these items are all."""
         flat, ends = item_shingles(pa.array(texts_, pa.large_string()), width)
         rows = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
         full = [k for k, r in enumerate(rows) if len(r)]
@@ -99,7 +103,15 @@ class ItemIndex:
         # items may repeat: what counts is how many different items hold a shingle
         distinct = {tuple(r.tolist()): np.unique(r) for r in rows}
         known, often = np.unique(np.concatenate(list(distinct.values())) if rows else held, return_counts=True)
+        own = None
+        if shared:
+            held = known
+            known = np.union1d(held, shared[0])
+            often = np.ones(len(known), np.int64)
+            often[np.searchsorted(known, shared[0])] = shared[1]
+            own = np.isin(known, held)
         out = cls(item_ids, [], np.array([len(r) for r in rows], np.int64), known, 1 / often, np.zeros(0, np.uint64), [], radius)
+        out.own = own
         out.sets = [dict(zip(*(x.tolist() for x in np.unique(r, return_counts=True)), strict=True)) for r in rows]
         out.mass = np.array([out.weigh(r)[0].sum() for r in rows], float)
         where = np.concatenate([np.searchsorted(out.known, np.unique(r)) for r in rows]) if rows else np.zeros(0, np.int64)
@@ -116,12 +128,12 @@ class ItemIndex:
         return out
 
     def weigh(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The weight of each shingle (1 for one that no item holds), and whether an item holds it."""
+        """The weight of each shingle (1 for one that no item holds), and whether an item of this index holds it."""
         if not len(self.known):
             return np.ones(len(shingles)), np.zeros(len(shingles), bool)
         at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
         hit = self.known[at] == shingles
-        return np.where(hit, self.weights[at], 1.0), hit
+        return np.where(hit, self.weights[at], 1.0), hit if self.own is None else hit & self.own[at]
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) pairs of all fingerprints within the radius."""
@@ -224,14 +236,35 @@ class ItemIndex:
         return place, sums
 
 
+def _shared_shingles(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that several different items hold, ascending, and how many hold each."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            flat, ends = item_shingles(texts(batch, "text"))
+            rows = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            held = [np.unique(r) for r in rows]
+            item = np.repeat(np.array([xxhash.xxh3_64_intdigest(r.tobytes()) for r in rows], np.uint64), [len(h) for h in held])
+            return record("", shingle=np.concatenate([*held, flat[:0]]).view(np.int64), item=item.view(np.int64))
+
+        return step
+
+    found = items.select("text").mapInArrow(per_batch(make), "shingle long, item long").distinct()
+    got = found.groupBy("shingle").count().filter("count > 1").toArrow()
+    shingles, often = got["shingle"].to_numpy().view(np.uint64), got["count"].to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], often[order]
+
+
 def _indexes(items: DataFrame, item_id: str, text: str):
     """One index after another over ``ITEMS`` items each."""
     items = only(items, item_id=item_id, text=text).filter(F.col("text").isNotNull())
     count = items.count()
     slices = max(1, -(-count // ITEMS))
+    shared = _shared_shingles(items) if slices > 1 else None
     for k in range(slices):
         some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).orderBy("item_id", "text").collect()
-        yield ItemIndex.build([r.item_id for r in some], [r.text for r in some])
+        yield ItemIndex.build([r.item_id for r in some], [r.text for r in some], shared=shared)
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
