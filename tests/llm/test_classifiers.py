@@ -162,3 +162,27 @@ def test_languages(spark, odd_docs):
     assert len(odd) == 10 and set(odd[odd.doc_id.isin([2, 3, 4])].lang_pred) == {"und"} and not (odd[odd.doc_id == 1].lang_pred == "und").any()
     none = language.fit_languages(docs, F.lit(False))
     assert set(language.predict_languages(docs, none).toPandas().lang_pred) == {"und"} and language.predict_languages(docs.limit(0), model).count() == 0
+
+
+def test_phrases_of_many_characters():
+    """Every learned character counts, however many there are: phrases by brute force over 1200 of them."""
+    import random
+
+    r = random.Random(2)
+    letters = [chr(0x4E00 + i) for i in range(1200)]
+    source = {k: "".join(r.choice(letters) for _ in range(1500)) for k in "ab"}
+    parser = language.build_parser({k: [v, v[:50]] for k, v in source.items()})
+    texts_ = [source["a"][100:180] + source["b"][5:60] + "xyz" + source["a"][7:9], source["b"][300:400]]
+    points, ends = language.fold(pa.array(texts_, pa.large_string()))
+    got = parser.phrases(points, ends)
+    for row in range(2):
+        folded = "".join(map(chr, points[ends[row] : ends[row + 1]]))
+        for k, lang in enumerate("ab"):
+            own = "".join(map(chr, language.fold(pa.array([source[lang]], pa.large_string()))[0]))
+            n, phrase = 1, ""
+            for c in folded:
+                if phrase + c in own:
+                    phrase += c
+                else:
+                    n, phrase = n + 1, (c if c in own else "")
+            assert got[row, k] == n

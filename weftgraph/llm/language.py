@@ -33,7 +33,8 @@ from .columns import bounded_batches, only, per_batch, record, segment_sum, text
 #: that they come from, and characters taken from each row, at most, per language.
 FIT_CHARS, FIT_ROWS, FIT_ROW_CHARS = 30_000, 60, 600
 BLOCK = 1024
-#: Symbols with a column of their own in a transition table; others share one that never matches.
+#: Columns of a transition table: the most frequent symbols have one each, the last is for all others,
+#: whose transitions are looked up by (state, symbol).
 SYMBOLS = 160
 
 
@@ -104,6 +105,10 @@ class CrossParser:
     symbols: np.ndarray
     tables: list[np.ndarray]
     norms: np.ndarray
+    #: Per language, ascending state * len(letters) + symbol and the state that follows, for symbols without a column.
+    sparse: list[tuple[np.ndarray, np.ndarray]]
+    #: Per language, the start of a new phrase with each symbol.
+    roots: list[np.ndarray]
 
     def phrases(self, points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases of each row against each language, as rows by languages."""
@@ -120,8 +125,16 @@ class CrossParser:
         wide = np.int32(SYMBOLS)
         for t, n in enumerate(live):
             c = column[start[:n] + t]
+            rare = np.flatnonzero(c >= wide - 1)
+            few = c[rare]
+            c = np.minimum(c, wide - 1)
             for k, table in enumerate(self.tables):
                 to = table[state[k][:n] * wide + c]
+                if len(rare):
+                    keys, after = self.sparse[k]
+                    key = state[k][rare].astype(np.int64) * len(self.roots[k]) + few
+                    at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                    to[rare] = np.where(keys[at] == key, after[at], self.roots[k][few]) if len(keys) else self.roots[k][few]
                 sign = to >> 31
                 made[k][:n] -= sign
                 state[k][:n] = to ^ sign
@@ -157,25 +170,32 @@ def build_parser(samples: dict[str, list[str]], limit: int = FIT_CHARS) -> Cross
         if rows:
             folded[lang] = rows
     letters, seen = np.unique(np.array([ord(c) for rows in folded.values() for r in rows for c in r], np.uint32), return_counts=True)
-    letters = letters[np.argsort(-seen, kind="stable")][: SYMBOLS - 1]
-    symbols = np.full(sys.maxunicode + 1, SYMBOLS - 1, np.int32)
+    letters = letters[np.argsort(-seen, kind="stable")]
+    # the last symbol is any character that no sample has
+    many = max(len(letters), SYMBOLS - 1) + 1
+    symbols = np.full(sys.maxunicode + 1, many - 1, np.int32)
     symbols[letters] = np.arange(len(letters))
-    tables = []
+    tables, sparse, roots = [], [], []
     for rows in folded.values():
         text = "".join(rows[::2])[:limit]
         automaton = SuffixAutomaton(text)
         table = np.zeros((len(automaton.step), SYMBOLS), np.int32)
-        root = np.zeros(SYMBOLS, np.int32)
+        root = np.zeros(many, np.int32)
         for c, s in automaton.step[0].items():
             root[symbols[ord(c)]] = s
-        root[SYMBOLS - 1] = 0
-        table[:] = ~root
+        table[:] = ~root[:SYMBOLS]
+        far = {}
         for state, moves in enumerate(automaton.step):
             for c, s in moves.items():
                 if symbols[ord(c)] < SYMBOLS - 1:
                     table[state, symbols[ord(c)]] = s
+                else:
+                    far[state * many + int(symbols[ord(c)])] = s
         tables.append(table.ravel())
-    parser = CrossParser(list(folded), symbols, tables, np.ones(len(folded)))
+        keys = np.array(sorted(far), np.int64)
+        sparse.append((keys, np.array([far[k] for k in keys.tolist()], np.int32)))
+        roots.append(~root)
+    parser = CrossParser(list(folded), symbols, tables, np.ones(len(folded)), sparse, roots)
     for k, rows in enumerate(folded.values()):
         own = np.array([ord(c) for c in "".join(rows[1::2] or rows)], np.uint32)
         parser.norms[k] = parser.phrases(own, np.array([0, len(own)]))[0, k] / len(own)
