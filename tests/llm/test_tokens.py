@@ -6,10 +6,11 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from weftgraph.llm import pieces, tokenfile
 
-PARTS = ["a", "b", "the", "ing", "  ", " ", "   ", "\n", "\t", "é", "ß", "中", "文字", "🏽", "x1", "00", "...", "==", "́", " " * 15, " " * 40, "aaaa", "ɐ", "it's", "　", " ", "İ", "ΑΣ", "<|endoftext|>", "</w>", "<s>"]
+PARTS = ["a", "b", "the", "ing", "  ", " ", "   ", "\n", "\t", "é", "ß", "中", "文字", "🏽", "x1", "00", "...", "==", "́", " " * 15, " " * 40, "aaaa", "ɐ", "it's", "　", " ", "İ", "ΑΣ", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|endoftext", "|>", "</w>", "<s>"]
 
 
 def cases(n, seed):
@@ -56,11 +57,26 @@ def test_pieces_over_a_table(spark, path, library, odd_docs):
     assert pieces.encode_documents(odd_docs.limit(0), path("piece_bpe_32k.model")).count() == 0
 
 
-def test_token_ids_are_those_of_the_library(path):
-    texts = cases(1500, 3)
+@pytest.fixture(scope="module")
+def word_library(path):
+    """The library's tokenizer as it comes, apart from the one that the operator holds."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path("word_bpe_49k.json"))
+
+
+def test_token_ids_are_those_of_the_library(path, word_library):
+    texts = [*cases(2500, 3), "a <|endoftext|> b", "<|startoftext|>x", "wo<|endoftext|>rd it<|endoftext|>'s", "<|endoftext|><|startoftext|>", "<|ENDOFTEXT|> <|StartOfText|>"]
     ids, ends = tokenfile.encode_texts(pa.array(texts, pa.large_string()), path("word_bpe_49k.json"), 2)
-    library = tokenfile._encoder(path("word_bpe_49k.json")).tokenizer
-    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [word_library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert ids[ends[len(texts) - 5] : ends[len(texts) - 4]].tolist() == [320, 49407, 321, 2]
+
+
+def test_plain_words_beside_special_ones(path, word_library):
+    """Special tokens amid many plain words, which are encoded together."""
+    texts = [" ".join(f"word{i}<|endoftext|>" if i % 7 == 0 else f"plain{i}'s." for i in range(300))]
+    ids, _ = tokenfile.encode_texts(pa.array(texts, pa.large_string()), path("word_bpe_49k.json"), 2)
+    assert ids.tolist() == word_library.encode(texts[0], add_special_tokens=False).ids + [2]
 
 
 @settings(max_examples=60, deadline=None)
@@ -68,7 +84,10 @@ def test_token_ids_are_those_of_the_library(path):
 def test_elias_fano(values):
     values = sorted(values)
     coded, _ = tokenfile.EliasFano.load(memoryview(tokenfile.EliasFano.of(np.array(values, np.uint64)).dump()), 0)
-    assert coded.values().tolist() == values and all(coded.select(i) == values[i] for i in range(0, len(values), 37))
+    assert coded.block(0, coded.n).tolist() == values and all(coded.select(i) == values[i] for i in range(0, len(values), 37))
+    for first, count in ((0, 1), (1, 256), (255, 2), (256, 300), (len(values) - 1, 5), (len(values), 3)):
+        if first >= 0:
+            assert coded.block(first, count).tolist() == values[first : first + count]
 
 
 def test_elias_fano_is_small():
@@ -79,19 +98,36 @@ def test_elias_fano_is_small():
 def test_shard():
     shard = tokenfile.make_shard([None, -5, -5, 9], np.array([1, 3, 0, 2]), np.arange(6, dtype="<u2"))
     back = tokenfile.Shard.load(shard.dump())
-    assert back.keys() == [None, -5, -5, 9] and back.document(1).tolist() == [1, 2, 3] and back.document(2).tolist() == [] and back.document(3).tolist() == [4, 5]
+    assert back.keys(0, 9) == [None, -5, -5, 9] and back.keys(1, 2) == [-5, -5] and [(k, b.tolist()) for k, b in back.blocks(3)] == [([None, -5, -5], [0, 1, 4, 4]), ([9], [4, 6])] and back.document(1).tolist() == [1, 2, 3] and back.document(2).tolist() == [] and back.document(3).tolist() == [4, 5]
     with pytest.raises(ValueError):
         tokenfile.Shard.load(b"nonsense" * 20)
 
 
-def test_token_files(spark, path, odd_docs, monkeypatch):
+def check_files(spark, docs, path, library):
+    got = sorted(tokenfile.token_files(docs, path("word_bpe_49k.json"), 2).collect(), key=lambda r: r.start)
+    at, left = 0, {}
+    for r in docs.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids + [2]
+        left.setdefault(r.doc_id, []).append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    assert [r.doc_id for r in got] == sorted((k for k, v in left.items() for _ in v), key=lambda k: (k is not None, k or 0))
+    for r in got:
+        left[r.doc_id].remove((r.n_tokens, r.ids_crc32))
+        assert r.start == at
+        at += r.n_tokens
+
+
+def test_token_files(spark, path, odd_docs, word_library, monkeypatch):
     monkeypatch.setattr(tokenfile, "SHARD_IDS", 300)
-    got = sorted(tokenfile.token_files(odd_docs, path("word_bpe_49k.json"), 2).collect(), key=lambda r: r.start)
-    library = tokenfile._encoder(path("word_bpe_49k.json")).tokenizer
-    rows = [(r.doc_id, library.encode(r.text or "", add_special_tokens=False).ids + [2]) for r in odd_docs.collect()]
-    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, len(r[1])))
-    at = 0
-    for r, (doc, ids) in zip(got, rows, strict=True):
-        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        at += len(ids)
+    check_files(spark, odd_docs, path, word_library)
     assert tokenfile.token_files(odd_docs.limit(0), path("word_bpe_49k.json"), 2).count() == 0
+
+
+def test_token_files_in_many_ranges(spark, path, word_library, monkeypatch, make_text):
+    """Small ranges, of which some end amid the rows of one id or without one; blocks of two boundaries."""
+    for name, value in (("SHARD_IDS", 100), ("RANGE_BYTES", 200), ("BLOCK", 2)):
+        monkeypatch.setattr(tokenfile, name, value)
+    rows = [(None if k % 5 == 0 else 7 if k % 5 == 1 else k - 50, make_text(k % 60, k % 11) + (" <|endoftext|>" if k % 9 == 0 else "")) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    edges = tokenfile._edges(docs.withColumn("h", F.xxhash64("text")))
+    assert edges[2] > 20 and (np.diff(edges[0]) == 0).any()
+    check_files(spark, docs, path, word_library)

@@ -1,23 +1,31 @@
 """Token-id output: concatenated ids with Elias-Fano document boundaries.
 
 Rows are tokenised on the executors, dealt to ranges of ``doc_id`` and sorted;
-each task cuts its range into shard files of bounded size.  A shard is one
+the ranges follow a sample of the ids, as in any range exchange, and are as many
+as the text's bytes ask for, ``RANGES`` at most.  Rows of one doc_id are ordered
+by a hash of their text, and a range may end among them, so that no id, nor
+null, fills one task.  Each task cuts its range into shard files of bounded size.  A shard is one
 byte string in the layout below, kept as one row of a Parquet table in the
 shared folder, so Spark's commit protocol decides which attempt counts when an
 executor is lost.  ``start`` of a document is the sum of the ids before it over
 all shards; only one total per range reaches the driver.
 
+Reading decodes ``BLOCK`` boundaries at a time, each block found by select; no
+64-bit table of a whole shard is made.
+
 Shard layout, little-endian: magic ``EFTK``, version, id width in bytes, then
 the number of documents, ids, rows with null doc_id and end id; the Elias-Fano
 sequence of document ids (less the smallest); that of the n + 1 boundaries; the ids.
 
 Defined cases: a null text is empty and gives just the end id; null doc_ids
-come first; rows that share a doc_id are all kept, shorter id lists first; an
-empty table gives no shards and no rows.
+come first; rows that share a doc_id are all kept, in the order of a hash of
+their texts; strings of special tokens in a text become those tokens, as the
+library has it; an empty table gives no shards and no rows.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -42,6 +50,12 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = "^[!-~\u00a1-\u00ac\u00ae-\u00ff]+$"
 #: Words that a worker keeps with their ids.
 CACHED_WORDS = 600_000
+#: Bytes of text in a range, ranges at most, and sampled rows for each range.
+RANGE_BYTES, RANGES, SAMPLED = 16 << 20, 20_000, 40
+#: Null doc_ids come first, with the least id.
+LEAST_ID = -(1 << 63)
+#: Boundaries that are decoded at once.
+BLOCK = 4096
 
 
 @dataclass
@@ -88,9 +102,18 @@ class EliasFano:
         place = at + int(np.flatnonzero(bits)[left])
         return (place - i) << self.low_bits | int(self._low(i, 1)[0])
 
-    def values(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        return (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits) | self._low(0, self.n)
+    def block(self, first: int, count: int) -> np.ndarray:
+        """Values first to first + count - 1: select finds where they start, the samples where they end."""
+        count = min(count, self.n - first)
+        if count <= 0:
+            return np.zeros(0, np.uint64)
+        begin = (self.select(first) >> self.low_bits) + first  # place of the set bit
+        ahead = -(-(first + count) // SAMPLE)
+        stop = int(self.samples[ahead]) + 1 if ahead < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[begin // 8 : -(-stop // 8)], bitorder="little")
+        bits[: begin % 8] = 0
+        ones = np.flatnonzero(bits)[:count] + begin // 8 * 8
+        return (ones - np.arange(first, first + count)).astype(np.uint64) << np.uint64(self.low_bits) | self._low(first, count)
 
     def dump(self) -> bytes:
         return struct.pack("<QBQQQ", self.n, self.low_bits, len(self.low), len(self.high), len(self.samples)) + self.low.tobytes() + self.high.tobytes() + self.samples.astype("<u4").tobytes()
@@ -132,8 +155,17 @@ class Shard:
         """The ids of document i, found by two selects."""
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
 
-    def keys(self) -> list[int | None]:
-        return [None] * self.nulls + [self.base + int(x) for x in self.doc_ids.values()]
+    def keys(self, first: int, count: int) -> list[int | None]:
+        """The doc_ids of documents first to first + count - 1, fewer at the end."""
+        nulls = min(max(self.nulls - first, 0), count)
+        return [None] * nulls + [self.base + int(x) for x in self.doc_ids.block(max(first - self.nulls, 0), count - nulls)]
+
+    def blocks(self, size: int = BLOCK) -> Iterator[tuple[list[int | None], np.ndarray]]:
+        """(doc_ids, boundaries, one more than the doc_ids) of some documents after another."""
+        n = self.bounds.n - 1
+        for first in range(0, n, size):
+            some = min(size, n - first)
+            yield self.keys(first, some), self.bounds.block(first, some + 1).astype(np.int64)
 
 
 def make_shard(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> Shard:
@@ -156,7 +188,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: In any case of letters, though only the exact string counts: such words aren't lowered before the library sees them.
+        self.special = "(?i)" + "|".join(re.escape(t) for t in added) if added else r"\z\A."
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -182,7 +216,7 @@ class WordEncoder:
         got: dict[str, bytes] = {}
         column = pa.array(new, pa.string())
         # characters that normalisation leaves one to one, so that pre-tokens can be counted here
-        plain = pc.match_substring_regex(column, PLAIN)
+        plain = pc.and_(pc.match_substring_regex(column, PLAIN), pc.invert(pc.match_substring_regex(column, self.special)))
         counts = pc.count_substring_regex(column, PRE_TOKEN).to_numpy()
         simple = plain.to_numpy(zero_copy_only=False)
         for index, joined in ((np.flatnonzero(simple), True), (np.flatnonzero(~simple), False)):
@@ -206,6 +240,9 @@ def encode_texts(text: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np
     """(ids of all rows with their end ids, offsets of the rows)."""
     encoder = _encoder(path)
     codes, offsets, dictionary = words(text)
+    if pc.any(pc.match_substring_regex(dictionary, encoder.special), min_count=0).as_py():
+        codes, offsets, dictionary = words(text, lower=False)
+        dictionary = pc.if_else(pc.match_substring_regex(dictionary, encoder.special), dictionary, pc.ascii_lower(dictionary))
     lists = encoder(dictionary.to_pylist())
     size = np.fromiter(map(len, lists), np.int64, len(lists)) // encoder.dtype.itemsize
     pool = np.frombuffer(b"".join(lists), encoder.dtype)
@@ -220,30 +257,44 @@ def encode_texts(text: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np
     return out, ends
 
 
-def _ranges(docs: DataFrame, rows: int) -> tuple[list[int], int]:
-    """Upper bounds of ranges of doc_id with about ``rows`` rows each."""
-    n = docs.select("doc_id").count()
-    parts = max(1, -(-n // rows))
-    fractions = [i / parts for i in range(1, parts)]
-    found = docs.agg(F.percentile_approx("doc_id", fractions, max(10_000, 20 * parts)).alias("b")).first().b if fractions else []
-    return sorted(set(found or [])), parts
+def _edges(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """(doc_ids, hashes, ranges): the last row of each range but the last one, from a sample of (doc_id, hash of the text)."""
+    rows, bytes_ = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), 1
+    ranges = int(max(1, min(RANGES, rows, -(-bytes_ // RANGE_BYTES))))
+    key = F.coalesce("doc_id", F.lit(LEAST_ID)).alias("doc_id")
+    part = docs.select(key, "h").sample(min(1.0, SAMPLED * ranges / rows), 7).toPandas().sort_values(["doc_id", "h"])
+    last = part.iloc[[len(part) * k // ranges for k in range(1, ranges)]] if len(part) else part
+    last = last.drop_duplicates()
+    return last["doc_id"].to_numpy(np.int64), last["h"].to_numpy(np.int64), len(last) + 1
+
+
+def _range_of(ids: np.ndarray, hashes: np.ndarray, edges: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many range ends (doc_id, hash) lie before each row."""
+    low, high = (np.searchsorted(edges[0], ids, side=s) for s in ("left", "right"))
+    out = low.astype(np.int32)
+    at = np.flatnonzero(high > low)  # rows of an id at which ranges end
+    for k in np.unique(low[at]).tolist():
+        some = at[low[at] == k]
+        out[some] += np.searchsorted(edges[1][k : int(high[some[0]])], hashes[some], side="left").astype(np.int32)
+    return out
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, doc_id: str = "doc_id", text: str = "text", rows: int = 4096) -> None:
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, doc_id: str = "doc_id", text: str = "text") -> None:
     """Write shard rows (part, seq, before, n_ids, n_docs, shard) under ``path``."""
     bounded_batches(docs.sparkSession)
-    docs = only(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
-    bounds, _ = _ranges(docs, rows)
-    edges = np.array(bounds, np.int64)
+    docs = only(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("h", F.xxhash64("text"))
+    *edges, ranges = _edges(docs)
 
     def tokenise():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             ids, ends = encode_texts(texts(batch, "text"), tokenizer, end_id)
             key = batch.column(0)
-            part = np.searchsorted(edges, key.fill_null(np.iinfo(np.int64).min).to_numpy(), side="left").astype(np.int32)
+            part = _range_of(key.fill_null(LEAST_ID).to_numpy(), batch.column(2).to_numpy(), edges)
             size = ids.dtype.itemsize
             blob = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer((ends * size).astype("<i8").tobytes()), pa.py_buffer(ids.tobytes())])
-            yield record("", part=part, doc_id=key, n=np.diff(ends), ids=blob.cast(pa.binary()))
+            yield record("", part=part, doc_id=key, n=np.diff(ends), ids=blob.cast(pa.binary()), h=batch.column(2))
 
         return step
 
@@ -275,8 +326,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, d
         if keys:
             yield flush()
 
-    tokens = docs.mapInArrow(per_batch(tokenise), "part int, doc_id long, n long, ids binary")
-    ordered = tokens.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "n", "ids")
+    tokens = docs.mapInArrow(per_batch(tokenise), "part int, doc_id long, n long, ids binary, h long")
+    ordered = tokens.repartitionById(ranges, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "h", "ids").drop("h")
     ordered.mapInArrow(shards, "part int, seq int, before long, n_ids long, n_docs long, shard binary").write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
@@ -291,10 +342,10 @@ def read_token_files(files: DataFrame) -> DataFrame:
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for part, before, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 shard = Shard.load(data)
-                bounds = shard.bounds.values().astype(np.int64)
-                wide = shard.ids.astype("<u4")
-                crc = [zlib.crc32(wide[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield record("", doc_id=pa.array(shard.keys(), pa.int64()), start=bounds[:-1] + base[part] + before, n_tokens=np.diff(bounds), ids_crc32=np.array(crc, np.int64))
+                for keys, bounds in shard.blocks():
+                    wide, ends = shard.ids[bounds[0] : bounds[-1]].astype("<u4"), (bounds - bounds[0]).tolist()
+                    crc = [zlib.crc32(wide[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                    yield record("", doc_id=pa.array(keys, pa.int64()), start=bounds[:-1] + base[part] + before, n_tokens=np.diff(bounds), ids_crc32=np.array(crc, np.int64))
 
         return step
 
