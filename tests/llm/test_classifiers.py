@@ -88,6 +88,30 @@ def test_machine_learns_a_pair():
     assert logit([1, 2]) > 0 > max(logit([1]), logit([2]), logit([1, 3]))
 
 
+def test_pairs_by_production_settings():
+    """Insults among themselves and groups among themselves are harmless, an insult beside a group isn't; held-out rows tell."""
+    import random
+    from dataclasses import replace
+
+    r = random.Random(6)
+    common = [f"w{i:03d}zz" for i in range(400)]
+    insults, groups = ["vile", "rude", "mean", "nasty"], ["northers", "southers", "easters", "westers"]
+    rows = []
+    for k in range(2400):
+        text = [r.choice(common) for _ in range(r.choice([20, 60, 200]))]
+        kind = k % 8
+        text += r.sample(insults, 2) if kind == 0 else r.sample(groups, 2) if kind == 1 else [r.choice(insults), r.choice(groups)] if kind == 2 else []
+        r.shuffle(text)
+        rows.append((" ".join(text), int(kind == 2)))
+    terms, ends = toxicity.term_sets(pa.array([t for t, _ in rows], pa.large_string()))
+    fitted = [(terms[a:b], y) for a, b, (_, y) in zip(ends, ends[1:], rows)]
+    model = toxicity.fit_machine(fitted[:1800])
+    texts_, y = pa.array([t for t, _ in rows[1800:]], pa.large_string()), np.array([y for _, y in rows[1800:]])
+    right = ((model.score(texts_) >= 0.3) == y).mean()
+    additive = ((replace(model, factors=model.factors * 0).score(texts_) >= 0.3) == y).mean()
+    assert right > 0.98 and additive < right - 0.08
+
+
 def test_factorization_sum():
     """The square trick against the sum over pairs."""
     draw = np.random.default_rng(1)

@@ -176,15 +176,14 @@ def test_similarity_by_brute_force():
 # Top-k ------------------------------------------------------------------------------
 
 
-def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(topk, "CANDIDATES", 7)
-    monkeypatch.setattr(topk, "QUERIES", 2)
+@pytest.mark.parametrize("block,round_", [(topk.BLOCK, topk.ROUND), (42, 12)])
+def test_top_k(spark, block, round_):
     r = random.Random(1)
     rows = [(i, [r.choice([0.0, 0.0, r.uniform(-1, 1)]) for _ in range(6)]) for i in range(60)]
-    rows += [(60, None), (61, [1.0, None]), (62, [float("nan")] * 6), (63, [float("inf")] + [0.0] * 5), (64, []), (65, [0.5]), (100, [1e16] * 6), (101, [1e16] * 6), (3, rows[3][1]), (None, [1.0] * 6)]
+    rows += [(60, None), (61, [1.0, None]), (62, [float("nan")] * 6), (63, [float("inf")] + [0.0] * 5), (64, []), (65, [0.5]), (100, [1e16] * 6), (101, [1e16] * 6), *[(3, rows[3][1])] * 9, (None, [1.0] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
     v = df.select("vec_id", topk.quantised(F.col("embedding")).alias("v"))
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(v, F.col("vec_id") % 20 == 0, 4).filter("query_id < 100").collect()}
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(v, F.col("vec_id") % 20 == 0, 4, block, round_).filter("query_id < 100").collect()}
     good = [(i, [int(np.floor(256 * x)) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
     for q, e in good:
         if q % 20 == 0 and q < 100:

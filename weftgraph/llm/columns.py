@@ -6,6 +6,8 @@ maximal run of characters other than the six ASCII white-space characters.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -18,15 +20,15 @@ from pyspark.sql import functions as F
 
 from weftgraph.shipping import ship
 
-#: Rows of one Arrow batch; bytes are bounded besides, so a batch of very long texts stays small.
-BATCH_ROWS = 20_000
+#: Rows and bytes of one Arrow batch at most, the same for all operators: results are lazy and the setting is the session's.
+BATCH_ROWS, BATCH_BYTES = 20_000, 8 << 20
 
 
-def bounded_batches(spark: SparkSession, mb: int = 16) -> None:
+def bounded_batches(spark: SparkSession) -> None:
     """Bound what a Python worker holds at once, by rows and by bytes; sends it this package."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
@@ -150,9 +152,11 @@ def only(df: DataFrame, **names: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; sets a local one only where none is set."""
+    """The folder that driver and executors share; sets one of its own only in a local session without one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         path = _local_checkpoints()
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -160,6 +164,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared one, which goes when the driver's JVM ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return path.toString()
+
+
 @cache
 def _local_checkpoints() -> str:
     import tempfile

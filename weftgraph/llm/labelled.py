@@ -15,7 +15,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column,
     """(doc_id, text, label) of at most ``limit`` labelled ids in the order of a hash of the id.
 
     Only 0 and 1 count as labels; an id labelled both ways counts as 1.  The
-    ids are bounded by ``limit``, so they can be broadcast.
+    ids are bounded by ``limit``, so they can be broadcast.  Of several rows of
+    one id that with the least hash of its text is taken, so rows are bounded too.
     """
     ids = (
         labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label"))
@@ -25,7 +26,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column,
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.min("label").alias("label"))
 
 
 def array_rows(column: pa.ChunkedArray) -> list[np.ndarray]:

@@ -42,7 +42,7 @@ SYMBOLS = 160
 def _lowered() -> np.ndarray:
     """For each code point: its lower-case form, or a blank where it isn't a letter."""
     out = np.full(sys.maxunicode + 1, 32, np.uint32)
-    for point in range(0x32000):
+    for point in range(sys.maxunicode + 1):
         c = chr(point)
         if c.isalpha():
             low = c.lower()
@@ -205,19 +205,20 @@ def build_parser(samples: dict[str, list[str]], limit: int = FIT_CHARS) -> Cross
 def fit_languages(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> CrossParser:
     """Learn from a bounded sample of rows with a language for which ``learn`` holds.
 
-    Rows are drawn by a hash of their id, about twice FIT_ROWS of each
-    language, and those with the smallest hashes are used, FIT_ROW_CHARS
-    characters from a hashed place of each.
+    Rows are drawn by a hash of id and text, about twice FIT_ROWS different
+    ones of each language, and those with the smallest hashes are used,
+    FIT_ROW_CHARS characters from a hashed place of each.
     """
-    bounded_batches(docs.sparkSession, 6)
+    bounded_batches(docs.sparkSession)
     rows = only(docs.withColumn("_learn", learn), doc_id=doc_id, text=text, lang=lang, learn="_learn").filter(F.col("learn") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    draw = F.xxhash64("doc_id", F.lit(3))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    draw = F.xxhash64("doc_id", F.lit(3), "text")
+    # repeated rows count once, so that what is drawn stays bounded
+    counts = {r.lang: max(r.n, 1) for r in rows.groupBy("lang").agg(F.approx_count_distinct(draw, 0.02).alias("n")).collect()}  # a row a language
     if not counts:
         return build_parser({})
     want = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(n))])
     at = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.greatest(F.lit(1), F.length("text") - FIT_ROW_CHARS)).cast("int")
-    drawn = rows.filter(F.pmod(draw, want[F.col("lang")]) < 2 * FIT_ROWS).select("lang", draw.alias("h"), F.substring(F.col("text"), at + 1, F.lit(FIT_ROW_CHARS)).alias("text"))
+    drawn = rows.filter(F.pmod(draw, want[F.col("lang")]) < 2 * FIT_ROWS).select("lang", draw.alias("h"), F.substring(F.col("text"), at + 1, F.lit(FIT_ROW_CHARS)).alias("text")).distinct()
     samples: dict[str, list[str]] = {}
     for r in sorted(drawn.collect(), key=lambda r: (r.lang, r.h, r.text)):
         if len(samples.setdefault(r.lang, [])) < FIT_ROWS:
@@ -227,7 +228,7 @@ def fit_languages(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text:
 
 def predict_languages(docs: DataFrame, model: CrossParser, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every row."""
-    bounded_batches(docs.sparkSession, 6)
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():

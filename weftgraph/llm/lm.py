@@ -36,7 +36,6 @@ from __future__ import annotations
 
 import base64
 import copy
-import uuid
 from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -48,7 +47,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import bounded_batches, give_back, only, per_batch, record, row_of, segment_sum, shared_dir, texts, word_hashes, words
+from .columns import bounded_batches, give_back, only, per_batch, record, row_of, scratch, segment_sum, texts, word_hashes, words
 from .pieces import Table
 
 STRIDE, WIDTH = 16, 16
@@ -584,8 +583,8 @@ def _windows(docs: DataFrame, path: str, total: int) -> np.ndarray:
 def score_documents(docs: DataFrame, learn: Column, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row; ``learn`` marks training rows by doc_id."""
     spark = docs.sparkSession
-    bounded_batches(spark, 8)
-    folder = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
+    bounded_batches(spark)
+    folder = scratch(spark, "lm")
     docs = only(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     train_docs = docs.filter(learn)
     count_corpus(train_docs, path).write.parquet(f"{folder}/counts")

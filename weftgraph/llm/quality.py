@@ -15,7 +15,7 @@ there is none).
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ def word_shape(word: str) -> str:
     return "".join(out)
 
 
-@cache
+@lru_cache(1 << 18)
 def _shape_hash(shape: str) -> int:
     return int(word_hashes(pa.array([shape]))[0])
 

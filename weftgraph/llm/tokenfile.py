@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import re
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import bounded_batches, only, per_batch, record, segment_sum, shared_dir, texts, words
+from .columns import bounded_batches, only, per_batch, record, scratch, segment_sum, texts, words
 
 #: Every SAMPLE-th set bit has its place kept for select().
 SAMPLE = 256
@@ -355,6 +354,6 @@ def read_token_files(files: DataFrame) -> DataFrame:
 def token_files(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Write a fresh set of files in the shared folder and read it back."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    path = scratch(spark, "token-files") + "/shards"
     write_token_files(docs, tokenizer, end_id, path)
     return read_token_files(spark.read.parquet(path))
