@@ -11,13 +11,21 @@ from weftgraph.llm.queries import GOOD_AT, TOXIC_AT, table, vocabulary
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts, rows as they are.
+
+    Null and empty texts score the bias; repeated rows all stay or all go; without
+    labels of both kinds the prior decides for all; an empty table gives no rows.
+    """
     model = quality.fit_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 4, 2))
     return quality.keep_quality(docs, model, GOOD_AT)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity scorer accepts."""
+    """Documents that the toxicity scorer accepts, rows as they are.
+
+    Null and empty texts score the bias; repeated rows all stay or all go; without
+    labels of both kinds the prior decides for all; an empty table gives no rows.
+    """
     model = toxicity.fit_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 4, 2))
     return toxicity.drop_toxic(docs, model, TOXIC_AT)
 
@@ -25,8 +33,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates: that with the smallest doc_id; of rows that share it, the least text.
 
-    Documents without words link with nothing and stay, as do rows without doc_id.
+    Documents without words link with nothing and stay, as do rows without doc_id; an empty table gives no rows.
     """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     found = jaccard.jaccard_components(docs)
     gone = found.filter("component_id is not null and component_id <> doc_id").select("doc_id").distinct()
     lost, known = docs.filter("doc_id is null"), docs.filter("doc_id is not null")
@@ -36,18 +45,26 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated = F.broadcast(repeated) if repeated.count() <= jaccard.BROADCAST_ROWS else repeated
     kept = known.join(gone, "doc_id", "left_anti")
     single = kept.join(repeated, "doc_id", "left_anti")
-    least = F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*docs.columns))).alias("row")
+    least = F.min_by(F.struct(*columns), F.struct("text", F.xxhash64(*columns))).alias("row")
     several = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(least).select("row.*")
-    return single.union(several).select(docs.columns).union(lost)
+    return single.select(columns).union(several).union(lost)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item, rows as they are.
+
+    Null and empty texts hold none and stay; repeated rows all stay or all go;
+    null items are passed over; without items all stay; an empty table gives no rows.
+    """
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_pieces, pieces): the little-endian 32-bit ids of each text."""
+    """(doc_id, n_pieces, pieces): the little-endian 32-bit ids of each row's text.
+
+    Null and empty texts have none; repeated rows and null ids are kept; an
+    empty table gives no rows.
+    """
     encoded = pieces.encode_documents(docs.select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
     return encoded.select("doc_id", (F.octet_length("pieces") / 4).cast("long").alias("n_pieces"), "pieces")
 

@@ -55,9 +55,10 @@ def copies(make_text):
     return rows
 
 
-@pytest.mark.parametrize("most,pairwise", [(3000, 64), (3, 64), (3000, 2), (5, 2)])
-def test_components_by_brute_force(spark, copies, most, pairwise, monkeypatch):
-    monkeypatch.setattr(jaccard, "PAIRWISE", pairwise)
+@pytest.mark.parametrize("most,pairwise,hot,slices", [(3000, 64, 32, 500), (3, 64, 1, 1), (3000, 2, 32, 500), (5, 2, 3, 3)])
+def test_components_by_brute_force(spark, copies, most, pairwise, hot, slices, monkeypatch):
+    for name, value in (("PAIRWISE", pairwise), ("HOT_ROWS", hot), ("LARGE_REGIONS", slices)):
+        monkeypatch.setattr(jaccard, name, value)
     docs = spark.createDataFrame(copies, "doc_id long, text string").repartition(3)
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, region_most=most).collect())
     assert got == brute_components(copies)

@@ -65,6 +65,36 @@ def word_library(path):
     return Tokenizer.from_file(path("word_bpe_49k.json"))
 
 
+def test_tree_of_products():
+    """The states of the best path, by trying all paths."""
+    import itertools
+
+    draw = np.random.default_rng(4)
+    for n in (1, 2, 3, 5, 6):
+        sizes = [1, *draw.integers(1, 4, n - 1).tolist(), 1]
+        matrices = [draw.integers(0, 50, (a, b)).astype(np.float32) for a, b in zip(sizes, sizes[1:])]
+        best = max(sum(m[i, j] for m, i, j in zip(matrices, path_, path_[1:])) for path_ in itertools.product(*map(range, sizes)))
+        states = pieces.scan(matrices)
+        assert len(states) == n + 1 and sum(m[i, j] for m, i, j in zip(matrices, states, states[1:])) == best
+
+
+def test_giants_in_levels(spark, path, library):
+    """Many small chunks, three of them to a product, so that the tree has several levels in Spark."""
+    texts = [t for t in cases(40, 9) if t] + ["a" * 150, "abcdefgh" * 40, " ".join(cases(20, 10)), "x"]
+    rows = spark.createDataFrame([(str(k).encode(), t) for k, t in enumerate(texts)], "key binary, text string")
+    got = pieces.encode_giants(rows.union(rows.limit(3)), path("piece_bpe_32k.model"), 7, 3, 3).toPandas().sort_values(["key", "k"])
+    ids = {k: np.concatenate([np.frombuffer(b, "<u4") for b in f["ids"]]).tolist() for k, f in got.groupby(got["key"].map(bytes))}
+    assert got["k"].max() > 27 and ids == {str(k).encode(): library.encode(t) for k, t in enumerate(texts)}
+
+
+def test_pieces_keep_all_columns(spark, path, library):
+    """Names that the operator might use for itself, on both sides of GIANT."""
+    rows = spark.createDataFrame([(1, "a b " * 50, 5, 6, 7, "x"), (2, "a", 5, 6, 7, "y"), (3, "a b " * 50, 5, 6, 7, "z")], "doc_id long, text string, _key int, key0 int, KEY1 int, `k.e` string")
+    got = pieces.encode_documents(rows, path("piece_bpe_32k.model"), giant=100)
+    assert got.columns == [*rows.columns, "pieces"]
+    assert sorted((r[0], r[2], r[5], np.frombuffer(r[6], "<u4").tolist()) for r in got.collect()) == [(k, 5, n, library.encode(t)) for k, t, n in ((1, "a b " * 50, "x"), (2, "a", "y"), (3, "a b " * 50, "z"))]
+
+
 def test_token_ids_are_those_of_the_library(path, word_library):
     texts = [*cases(2500, 3), "a <|endoftext|> b", "<|startoftext|>x", "wo<|endoftext|>rd it<|endoftext|>'s", "<|endoftext|><|startoftext|>", "<|ENDOFTEXT|> <|StartOfText|>"]
     ids, ends = tokenfile.encode_texts(pa.array(texts, pa.large_string()), path("word_bpe_49k.json"), 2)

@@ -125,6 +125,17 @@ def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Ite
     return run
 
 
+def map_rows(df: DataFrame, make: Callable[[], Callable], schema) -> DataFrame:
+    """mapInArrow over all columns of ``df``, which may have any names, such as ones with dots."""
+    names = df.columns
+
+    def named():
+        step = make()
+        return lambda batch: step(batch.rename_columns(names))
+
+    return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(per_batch(named), schema)
+
+
 def give_back() -> None:
     """Return freed memory to the system: workers serve one task after another."""
     pa.default_memory_pool().release_unused()

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import bounded_batches, mix, only, per_batch, record, shingle_hashes, texts, word_hashes, words
+from .columns import bounded_batches, map_rows, mix, only, per_batch, record, shingle_hashes, texts, word_hashes, words
 
 LEAST, WIDTH, RADIUS = 0.75, 5, 19
 #: Items in one index; the table of near block values grows with it.
@@ -313,5 +313,5 @@ def drop_leaks(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item
 
             return step
 
-        docs = docs.mapInArrow(per_batch(make), docs.schema)
+        docs = map_rows(docs, make, docs.schema)
     return docs

@@ -53,6 +53,10 @@ COMMON, COMMON_MOST = 64, 1 << 18
 PAIRWISE, REGION = 64, 3000
 #: Rows of ids that are broadcast at most; beyond that the same join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: A key with more rows than this, or than this part of all rows, is hot; so hot keys are at most HOT_KEYS or rows / HOT_ROWS, and can be broadcast.
+HOT_ROWS, HOT_KEYS = 32, 50_000
+#: Large regions that are joined in one pass, about.
+LARGE_REGIONS = 500
 #: Shingle places that one task of the singleton cells gets.
 CELL_ROWS = 500_000
 
@@ -410,6 +414,17 @@ def _join_regions(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iter
     give_back()
 
 
+def _join_counted(rows: DataFrame, keys: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with one row a key, whose ``c`` is how many of the rows have it; hot keys don't shuffle.
+
+    No more than ``total`` / (the least count of a hot key) keys are hot.
+    """
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    hot, cold = keys.filter(F.col("c") > least).drop("c"), keys.filter(F.col("c") <= least).drop("c")
+    near = F.broadcast(hot)
+    return rows.join(near, key).union(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 # Regions too large for a task ---------------------------------------------------
 
 
@@ -474,8 +489,9 @@ def _crossed(members: pd.DataFrame, rest: pd.DataFrame, num: int, den: int) -> p
 def _join_large(members: DataFrame, num: int, den: int, pivots: int = 8, rounds: int = 4, part: int = 512) -> DataFrame:
     """Links that connect the members (region, doc_id, blob) of regions of any size.
 
-    Only pivots come to the driver, about ``pivots`` a region and round, and
-    which of them are one component, as far as a member is near to two of them.
+    The regions are LARGE_REGIONS or about so many.  Only pivots come to the
+    driver, about ``pivots`` a region and round, and which of them are one
+    component, as far as a member is near to two of them.
     """
     spark = members.sparkSession
     state = members.select("region", "doc_id", "blob", F.array().cast("array<double>").alias("d"), F.lit(None).cast("long").alias("label")).checkpoint()
@@ -501,12 +517,18 @@ def _join_large(members: DataFrame, num: int, den: int, pivots: int = 8, rounds:
         if state.filter("label is null").limit(part + 1).count() <= part:
             break
     # in each region the most common component is settled; all others meet everything, part by part
-    main = state.filter("label is not null").groupBy("region", "label").count().groupBy("region").agg(F.max_by("label", "count").alias("main"))
+    counts = state.groupBy("region", "label").count()
+    main = counts.filter("label is not null").groupBy("region").agg(F.max_by("label", "count").alias("main"))
     rest = state.join(F.broadcast(main), "region", "left").filter("label is null or label <> main").drop("main")
-    most = state.groupBy("region").count().agg(F.max("count").alias("n")).first().n or 1
-    parts, blocks = -(-most // part), max(1, -(-rest.count() // part))
-    left = state.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    right = rest.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    # a region is cut by its own size and its own number of unsettled members
+    sizes = counts.groupBy("region").agg(F.sum("count").alias("n")).join(rest.groupBy("region").agg(F.count("*").alias("r")), "region")
+    sizes = F.broadcast(sizes.select("region", F.ceil(F.col("n") / part).alias("parts"), F.ceil(F.col("r") / part).alias("blocks")))
+
+    def each(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    left = state.join(sizes, "region").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts")).withColumn("block", each("blocks")).drop("parts", "blocks")
+    right = rest.join(sizes, "region").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), "blocks")).withColumn("part", each("parts")).drop("parts", "blocks")
     right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns apart from those of the left side
     keys = ["region", "part", "block"]
     cross = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(partial(_crossed, num=num, den=den), "u long, v long")
@@ -555,19 +577,26 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     links = None
     if not members.filter(F.col("size") > region_most).isEmpty():
         large = dealt.filter(F.col("size") > region_most).select("region", "doc_id", "blob").dropDuplicates(["region", "doc_id", "blob"])
-        links = _join_large(large, num, den)
+        slices = max(1, -(-members.filter(F.col("size") > region_most).select("region").distinct().count() // LARGE_REGIONS))
+        for k in range(slices):
+            some = _join_large(large.filter(F.pmod(F.xxhash64("region"), F.lit(slices)) == k), num, den)
+            links = some if links is None else links.union(some)
         small = dealt.filter(F.col("size") <= region_most)
     ordered = small.select("region", "doc_id", "blob").repartition(max(parts, 2), "region").sortWithinPartitions("region", "doc_id")
     near = ordered.mapInArrow(partial(_join_regions, num=num, den=den), "u long, v long")
     links = near if links is None else links.union(near)
-    # copies are joined by digest, rows of one doc_id by it
-    copies = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    rows = rows.join(copies, "digest", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")).checkpoint()
-    rep = rows.groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    repeated = rows.join(rep.withColumnRenamed("rep", "least"), "doc_id").filter("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
-    links = links.distinct().join(rep.select(F.col("doc_id").alias("u"), F.col("rep").alias("ru")), "u").join(rep.select(F.col("doc_id").alias("v"), F.col("rep").alias("rv")), "v")
+    # copies are joined by digest, rows of one doc_id by it; a hot digest, id or component doesn't meet in one task
+    total = rows.count()
+    copies = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
+    alone = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("rep"))
+    rows = _join_counted(rows.filter("n > 0"), copies, "digest", total).select("doc_id", "n", "rep").union(alone).checkpoint()
+    reps = rows.groupBy("doc_id", "rep").agg(F.count("*").alias("rows"))
+    rep = reps.groupBy("doc_id").agg(F.min("rep").alias("least"), F.count("*").alias("c")).checkpoint()
+    repeated = _join_counted(reps.select("doc_id", "rep"), rep.filter("c > 1"), "doc_id", total).filter("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
+    links = links.distinct().join(rep.select(F.col("doc_id").alias("u"), F.col("least").alias("ru")), "u").join(rep.select(F.col("doc_id").alias("v"), F.col("least").alias("rv")), "v")
     found = components(links.select(F.col("ru").alias("u"), F.col("rv").alias("v")).union(repeated))
-    out = rows.join(found, rows.rep == found.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    own = reps.groupBy("rep").agg(F.sum("rows").alias("c")).join(found, F.col("rep") == F.col("node"), "left").select("rep", "c", F.coalesce("component", "rep").alias("component_id"))
+    out = _join_counted(rows, own, "rep", total).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
     def count():
         return lambda batch: record("", doc_id=batch.column(0), n_shingles=np.diff(_sets(texts(batch, "text"), width)[1]).astype(np.int64), component_id=pa.nulls(batch.num_rows, pa.int64()))

@@ -10,15 +10,17 @@ one path of weight 0 is the encoding.
 
 A text is cut into chunks.  At a cut the states are the pieces that cover the
 character before it, with their overhang; a chunk gives the max-plus matrix
-from the states at its start to those at its end.  Matrices are combined
-associatively, which fixes the state at each cut; then each chunk is
-backtraced on its own.  Blanks that follow a non-blank always begin a piece, so
+from the states at its start to those at its end.  Matrices are multiplied in a
+tree, as the product is associative; going down the tree, the states at the ends
+of a product fix the one between its factors; then each chunk is backtraced on
+its own.  Blanks that follow a non-blank always begin a piece, so
 a cut there has a single state; cuts are placed there if one is near.  Inside a
 chunk each distinct word is solved once, all words of a batch in lockstep.
 Runs of blanks have equal merge scores and are merged from the left.
 
 Texts of up to ``GIANT`` characters are solved within a batch.  Longer ones
-are dealt out by chunk: matrices, scan and backtrace are separate Spark stages.
+are dealt out by chunk: matrices, the levels of the tree and backtrace are
+separate Spark stages.
 
 Defined cases: a null or empty text has no pieces; repeated rows are encoded
 alike; U+2581 reads as a blank, as in the model's own normalisation; characters
@@ -39,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import bounded_batches, only, per_batch, record, shared_dir, texts
+from .columns import bounded_batches, map_rows, only, per_batch, record, shared_dir, texts
 
 BLANK = "▁"
 #: Words up to this length are solved in lockstep; longer ones one at a time.
@@ -47,6 +49,8 @@ LOCKSTEP = 40
 #: Characters of a chunk, how far a cut is moved back to reach a blank, and the
 #: length from which on a text's chunks are dealt to different tasks.
 CHUNK, REACH, GIANT = 16_384, 2_048, 60_000
+#: Neighbouring matrices of a text that are multiplied in one task.
+FAN = 256
 #: Words that a worker keeps with their pieces.
 CACHED_WORDS = 250_000
 NEVER = np.int64(1) << 40
@@ -469,8 +473,11 @@ def word_spans(text: str, p: int, q: int) -> tuple[int, int]:
     return (a, next(i for i in range(q, p - 1, -1) if forced(text, i))) if a >= 0 else (-1, -1)
 
 
-def _paths(enc: Encoder, text: str, p: int, q: int, state: State) -> dict[State, list[int]]:
-    """From one state at p: the pieces that begin in this chunk, for each state at q that is reached."""
+def _paths(enc: Encoder, text: str, p: int, q: int, state: State, inner: dict[tuple[int, int], list[int]] | None = None) -> dict[State, list[int]]:
+    """From one state at p: the pieces that begin in this chunk, for each state at q that is reached.
+
+    ``inner`` keeps what lies between the first and last forced borders, which the chunk's states share.
+    """
     model = enc.model
     begin = p + state.over
     if begin > q:  # the piece covers the whole chunk
@@ -510,7 +517,10 @@ def _paths(enc: Encoder, text: str, p: int, q: int, state: State) -> dict[State,
     head = steps(begin, state.piece, a).get(State(-1, 0)) if a > begin or not forced(text, begin) else []
     if head is None:
         return {}
-    middle = [] if b == a else enc.text(text[a + 1 : b]) or model.run(1)
+    inner = {} if inner is None else inner
+    if (a, b) not in inner:
+        inner[a, b] = [] if b == a else enc.text(text[a + 1 : b]) or model.run(1)
+    middle = inner[a, b]
     tail = steps(b, -1, q) if q > b else {State(-1, 0): []}
     return {s: head + middle + ids for s, ids in tail.items()}
 
@@ -520,8 +530,9 @@ def transfer(enc: Encoder, text: str, p: int, q: int) -> tuple[list[State], list
     into, out = states_at(enc.model, text, p), states_at(enc.model, text, q)
     at = {s: k for k, s in enumerate(out)}
     matrix = np.full((len(into), len(out)), -np.inf, np.float32)
+    inner: dict[tuple[int, int], list[int]] = {}
     for k, s in enumerate(into):
-        for reached in _paths(enc, text, p, q, s):
+        for reached in _paths(enc, text, p, q, s, inner):
             if reached in at:
                 matrix[k, at[reached]] = 0
     return into, out, matrix
@@ -532,23 +543,38 @@ def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(1)
 
 
-def scan(matrices: list[np.ndarray]) -> list[int]:
-    """The state at each cut on the best path, from associative products of the matrices.
+def _levels(matrices: list[np.ndarray]) -> list[list[np.ndarray]]:
+    """The tree of products: each level holds those of neighbours on the level before; an odd last one moves up."""
+    levels = [matrices]
+    while len(levels[-1]) > 1:
+        below = levels[-1]
+        levels.append([max_plus(*below[k : k + 2]) if k + 1 < len(below) else below[k] for k in range(0, len(below), 2)])
+    return levels
 
-    A tree of products gives the products of all suffixes; walking from the
-    left, the state after chunk k is the one that can still reach the end.
-    """
-    suffix = [matrices[-1]]
-    for m in reversed(matrices[:-1]):
-        suffix.append(max_plus(m, suffix[-1]))
-    suffix = suffix[::-1]
-    states = [int(suffix[0].max(1).argmax())]
-    for k, m in enumerate(matrices):
-        rest = suffix[k + 1].max(1) if k + 1 < len(matrices) else np.zeros(m.shape[1])
-        states.append(int((m[states[-1]] + rest).argmax()))
+
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    return _levels(matrices)[-1][0]
+
+
+def between(matrices: list[np.ndarray], enter: int, leave: int) -> list[int]:
+    """The state at each cut on the best path between two states, down the tree of products."""
+    states = [enter, leave]
+    for below in _levels(matrices)[-2::-1]:
+        out = [enter]
+        for k, end in enumerate(states[1:]):
+            if 2 * k + 1 < len(below):
+                out.append(int((below[2 * k][out[-1]] + below[2 * k + 1][:, end]).argmax()))
+            out.append(end)
+        states = out
     return states
 
 
+def scan(matrices: list[np.ndarray]) -> list[int]:
+    """The state at each cut on the best path: products up a tree, then states down it, each from its ends alone."""
+    whole = product(matrices)
+    return between(matrices, *(int(x) for x in np.unravel_index(whole.argmax(), whole.shape)))
+
+
 def backtrace(enc: Encoder, text: str, p: int, q: int, enter: State, leave: State) -> list[int]:
     """The pieces that begin in [p, q) on the path between two states."""
     return _paths(enc, text, p, q, enter)[leave]
@@ -589,19 +615,41 @@ def _deal_chunks(giants: DataFrame, chunk: int, reach: int) -> DataFrame:
     return giants.mapInArrow(per_batch(make), "key binary, k int, p int, q int, text string, more boolean")
 
 
-def _scan_text(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """The state numbers at both ends of each chunk of one text; a matrix is a few bytes a chunk."""
+MATRIX = "key binary, k int, n int, matrix binary"
+
+
+def _matrices(frame: pd.DataFrame) -> list[np.ndarray]:
+    return [np.where(np.frombuffer(m, np.uint8).reshape(n, -1) > 0, 0, -np.inf).astype(np.float32) for m, n in zip(frame["matrix"], frame["n"], strict=True)]
+
+
+def _fold(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """The product of up to FAN neighbouring matrices of one text."""
+    whole = product(_matrices(frame.sort_values("k")))
+    return pd.DataFrame({"key": [keys[0]], "k": [keys[1]], "n": [len(whole)], "matrix": [(whole == 0).astype(np.uint8).tobytes()]})
+
+
+def _part(keys: tuple, frame: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+    """The states at both ends of each of some neighbouring matrices; ``ends`` has those of their product, or is empty at the top."""
     frame = frame.sort_values("k")
-    matrices = [np.where(np.frombuffer(m, np.uint8).reshape(n, -1) > 0, 0, -np.inf).astype(np.float32) for m, n in zip(frame["matrix"], frame["n"], strict=True)]
-    states = scan(matrices)
+    matrices = _matrices(frame)
+    states = between(matrices, int(ends["enter"].iloc[0]), int(ends["leave"].iloc[0])) if len(ends) else scan(matrices)
     return pd.DataFrame({"key": [keys[0]] * len(frame), "k": frame["k"], "enter": states[:-1], "leave": states[1:]})
 
 
-def encode_giants(giants: DataFrame, path: str, chunk: int = CHUNK, reach: int = REACH) -> DataFrame:
-    """(key, k, ids): the pieces of each chunk of (key binary, text), in three stages."""
+def encode_giants(giants: DataFrame, path: str, chunk: int = CHUNK, reach: int = REACH, fan: int = FAN) -> DataFrame:
+    """(key, k, ids): the pieces of each chunk of (key binary, text).
+
+    Matrices of chunks are multiplied ``fan`` neighbours at a time, level by
+    level, until a text has ``fan`` at most; states come down the same levels.
+    So no task holds more than ``fan`` matrices of a text, however long it is.
+    """
     spark = giants.sparkSession
     shared_dir(spark)
-    chunks = _deal_chunks(giants.dropDuplicates(["key"]), chunk, reach).repartition(F.col("key"), F.col("k")).checkpoint()
+    sizes = giants.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.coalesce(F.max(F.length("text")), F.lit(0))).first()
+    # asked for by number, so that few bytes of much work aren't put together
+    tasks = int(max(1, min(sizes[0] // chunk + 1, max(4 * spark.sparkContext.defaultParallelism, sizes[0] // (64 * chunk)))))
+    each = giants.dropDuplicates(["key"]).repartition(tasks, "key")
+    chunks = _deal_chunks(each, chunk, reach).repartition(tasks, F.col("key"), F.col("k")).checkpoint()
 
     def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
@@ -609,19 +657,26 @@ def encode_giants(giants: DataFrame, path: str, chunk: int = CHUNK, reach: int =
             made = [transfer(enc, t, p, q)[2] for t, p, q in zip(f["text"], f["p"], f["q"], strict=True)]
             yield pd.DataFrame({"key": f["key"], "k": f["k"], "n": [len(m) for m in made], "matrix": [(m == 0).astype(np.uint8).tobytes() for m in made]})
 
-    made = chunks.mapInPandas(matrices, "key binary, k int, n int, matrix binary")
-    states = made.groupBy("key").applyInPandas(_scan_text, "key binary, k int, enter int, leave int")
+    levels, most = [chunks.mapInPandas(matrices, MATRIX).checkpoint()], (chunks.agg(F.max("k")).first()[0] or 0) + 1
+    group = F.floor(F.col("k") / fan).cast("int").alias("g")
+    while most > fan:
+        levels.append(levels[-1].groupBy("key", group).applyInPandas(_fold, MATRIX).checkpoint())
+        most = -(-most // fan)
+    states = spark.createDataFrame([], "key binary, k int, enter int, leave int")
+    for level in reversed(levels):
+        above = states.select(F.col("key").alias("of"), F.col("k").alias("g"), "enter", "leave")
+        states = level.groupBy("key", group).cogroup(above.groupBy("of", "g")).applyInPandas(_part, "key binary, k int, enter int, leave int")
 
     def traced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         for f in frames:
             out = []
             for t, p, q, a, b in zip(f["text"], f["p"], f["q"], f["enter"], f["leave"], strict=True):
-                into, to, _ = transfer(enc, t, p, q)
-                out.append(np.array(backtrace(enc, t, p, q, into[a], to[b]), "<u4").tobytes())
+                ends = states_at(enc.model, t, p)[a], states_at(enc.model, t, q)[b]
+                out.append(np.array(backtrace(enc, t, p, q, *ends), "<u4").tobytes())
             yield pd.DataFrame({"key": f["key"], "k": f["k"], "ids": out})
 
-    return chunks.join(states, ["key", "k"]).mapInPandas(traced, "key binary, k int, ids binary")
+    return chunks.join(states, ["key", "k"]).repartition(tasks, "key", "k").mapInPandas(traced, "key binary, k int, ids binary")
 
 
 def _bytes_of(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -643,15 +698,15 @@ def encode_documents(docs: DataFrame, path: str, giant: int = GIANT) -> DataFram
         return step
 
     big = F.coalesce(F.length("text"), F.lit(0)) > giant
-    short = docs.filter(~big).mapInArrow(per_batch(make), schema)
+    short = map_rows(docs.filter(~big), make, schema)
     if docs.filter(big).isEmpty():
         return short
     key = F.unhex(F.sha2("text", 256))
     giants = encode_giants(docs.filter(big).select(key.alias("key"), "text"), path)
     joined = giants.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
-    whole = joined.select(F.col("key").alias("_key"), F.aggregate(F.transform("parts", lambda x: F.hex(x.ids)), F.lit(""), lambda a, x: F.concat(a, x), F.unhex).alias("pieces"))
-    long = docs.filter(big).withColumn("_key", key).join(whole, "_key").drop("_key")
-    return short.unionByName(long)
+    own = next(n for n in (f"key{k}" for k in range(len(docs.columns) + 1)) if n not in {c.lower() for c in docs.columns})
+    whole = joined.select(F.col("key").alias(own), F.aggregate(F.transform("parts", lambda x: F.hex(x.ids)), F.lit(""), lambda a, x: F.concat(a, x), F.unhex).alias("pieces"))
+    return short.union(docs.filter(big).join(whole, key == F.col(own)).drop(own))
 
 
 def decode_documents(encoded: DataFrame, path: str, pieces: str = "pieces") -> DataFrame:
@@ -666,7 +721,7 @@ def decode_documents(encoded: DataFrame, path: str, pieces: str = "pieces") -> D
 
         return step
 
-    return encoded.mapInArrow(per_batch(make), schema)
+    return map_rows(encoded, make, schema)
 
 
 def _ids_of(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:

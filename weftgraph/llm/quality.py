@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import bounded_batches, mix, only, per_batch, record, row_of, segment_sum, texts, word_hashes, words
+from .columns import bounded_batches, map_rows, mix, only, per_batch, record, row_of, segment_sum, texts, word_hashes, words
 from .labelled import FIT_ROWS, array_rows, labelled_rows
 
 BITS = 20
@@ -162,4 +162,4 @@ def keep_quality(docs: DataFrame, model: FtrlModel, threshold: float, text: str
     def make():
         return lambda batch: batch.filter(pa.array(shared.value.score(texts(batch, text)) >= threshold))
 
-    return docs.mapInArrow(per_batch(make), docs.schema)
+    return map_rows(docs, make, docs.schema)

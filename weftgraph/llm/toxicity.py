@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import bounded_batches, mix, only, per_batch, record, row_of, segment_sum, texts, word_hashes, words
+from .columns import bounded_batches, map_rows, mix, only, per_batch, record, row_of, segment_sum, texts, word_hashes, words
 from .labelled import FIT_ROWS, array_rows, labelled_rows
 
 BITS = 22
@@ -240,4 +240,4 @@ def drop_toxic(docs: DataFrame, model: FactorizationMachine, threshold: float, t
         model, slot = shared.value, shared.value.slots()
         return lambda batch: batch.filter(pa.array(model.score(texts(batch, text), slot) < threshold))
 
-    return docs.mapInArrow(per_batch(make), docs.schema)
+    return map_rows(docs, make, docs.schema)
