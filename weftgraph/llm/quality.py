@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import bounded_batches, map_rows, mix, only, per_batch, record, row_of, segment_sum, texts, word_hashes, words
+from .columns import bounded_batches, give_back, map_rows, mix, only, per_batch, record, row_of, segment_sum, texts, word_hashes, words
 from .labelled import FIT_ROWS, array_rows, labelled_rows
 
 BITS = 20
@@ -140,7 +140,9 @@ def training_rows(sample: DataFrame, bits: int = BITS) -> list[tuple[np.ndarray,
 def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = FIT_ROWS) -> FtrlModel:
     """Learn from labels.quality of at most ``limit`` rows for which ``learn`` holds."""
     bounded_batches(docs.sparkSession)
-    return fit_ftrl(training_rows(labelled_rows(docs, labels, "quality", learn, limit)))
+    model = fit_ftrl(training_rows(labelled_rows(docs, labels, "quality", learn, limit)))
+    give_back()
+    return model
 
 
 def quality_scores(docs: DataFrame, model: FtrlModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import bounded_batches, map_rows, mix, only, per_batch, record, row_of, segment_sum, texts, word_hashes, words
+from .columns import bounded_batches, give_back, map_rows, mix, only, per_batch, record, row_of, segment_sum, texts, word_hashes, words
 from .labelled import FIT_ROWS, array_rows, labelled_rows
 
 BITS = 22
@@ -216,7 +216,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, limit: int =
 
     sample = labelled_rows(docs, labels, "toxic", learn, limit).select("doc_id", "text", "label")
     got = sample.mapInArrow(per_batch(make), "doc_id long, label int, terms array<int>").toArrow().sort_by([("doc_id", "ascending")])
-    return fit_machine(list(zip(array_rows(got["terms"]), got["label"].to_pylist(), strict=True)))
+    model = fit_machine(list(zip(array_rows(got["terms"]), got["label"].to_pylist(), strict=True)))
+    del got
+    give_back()
+    return model
 
 
 def toxicity_scores(docs: DataFrame, model: FactorizationMachine, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
