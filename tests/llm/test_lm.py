@@ -66,6 +66,17 @@ def test_scores_by_brute_force(model, make_text):
         assert got[row] == pytest.approx(total / np.log(10), rel=1e-4)
 
 
+def test_equal_texts_score_equally_anywhere(model, make_text):
+    """To the last bit, whatever stands before a text in its batch."""
+    m, p = model
+    same, rest = make_text(3, 37), [make_text(i, 1 + 7 * i % 60) for i in range(100, 180)]
+    found = set()
+    for k in range(0, 80, 7):
+        got = m.score(lm.Batch(p, *words(pa.array([*rest[k:], same, *rest[:k], same], pa.large_string()))))
+        found |= {got[80 - k], got[-1]}
+    assert len(found) == 1
+
+
 def test_shares_sum_to_one(model):
     m, _ = model
     every = np.arange(len(m.classes))
@@ -131,3 +142,45 @@ def test_weights_learn_from_all_texts(spark, path, make_text, monkeypatch):
     before, after = (lm.train(np.zeros((0, 2 * lm.STRIDE + 1), np.int64), pairs, often, size, more=more) for more in (None, lambda a, c: lm._learn_all(docs, p, a, c)))
     moved = np.flatnonzero((before.weights["embed"] != after.weights["embed"]).any(1))
     assert set(moved.tolist()) == set(batch.ids.tolist())
+
+
+@pytest.mark.parametrize("scale", [1, 40])
+def test_gradients_by_differences(scale):
+    """A step's gradients against differences of a plain loss, with ids that repeat, unfilled windows and, scaled, exponents that would overflow."""
+    draw = np.random.default_rng(1)
+    n, length = 40, 2 * lm.STRIDE
+    windows = draw.integers(0, n, (3, length + 1))
+    windows[1, 9:] = -1
+    classes = draw.integers(0, lm.CLASSES, n)
+    learner = lm.Learner(n, np.ones(lm.CLASSES), 3)
+    learner.w["query"] *= scale
+    learner.w["bias"] += draw.normal(0, 0.3, length).astype(np.float32)
+    w = {k: v.astype(float) for k, v in learner.w.items()}
+    embed = learner.w["embed"].copy()
+
+    def loss():
+        total, seen = 0.0, 0
+        for row in windows:
+            e = w["embed"][np.maximum(row[:-1], 0)]
+            for t in range(length):
+                if row[t + 1] < 0:
+                    continue
+                s = (e[t] @ w["query"]) @ (e[: t + 1] @ w["key"]).T / np.sqrt(lm.WIDTH) + w["bias"][t - np.arange(t + 1)]
+                a = np.exp(s - s.max())
+                logits = np.tanh(a / a.sum() @ (e[: t + 1] @ w["value"]) @ w["mix"] + e[t] @ w["rest"] + w["shift"]) @ w["out"] + w["lift"]
+                total += np.log(np.exp(logits - logits.max()).sum()) + logits.max() - logits[classes[row[t + 1]]]
+                seen += 1
+        return total / seen
+
+    learner.step(windows, classes, 1e-3)
+    for name, v in w.items():
+        for _ in range(3):
+            at = tuple(int(draw.integers(0, d)) for d in v.shape)
+            kept = v[at]
+            v[at] = kept + 1e-5
+            above = loss()
+            v[at] = kept - 1e-5
+            slope, v[at] = (above - loss()) / 2e-5, kept
+            # the first moment is a tenth of the gradient; embeddings keep their squares
+            got = learner.moment[name][0][at] * 10 if name != "embed" else np.sqrt(learner.met[at]) * np.sign(embed[at] - learner.w["embed"][at])
+            assert got == pytest.approx(slope, rel=2e-2, abs=2e-5)

@@ -65,6 +65,9 @@ BROADCAST_WORDS = 1_500_000
 CACHED_WORDS = 250_000
 #: Pairs of neighbouring ids that are broadcast at most, those seen most often; the others are joined.
 BROADCAST_PAIRS = 2_000_000
+#: How far back in a window a token sees another, and whether it does.
+_GAP = np.maximum(np.arange(2 * STRIDE)[:, None] - np.arange(2 * STRIDE)[None, :], 0)
+_CAUSAL = np.tri(2 * STRIDE, dtype=bool)
 
 
 class Subwords:
@@ -301,19 +304,20 @@ class AttentionModel:
         np.clip(at, 0, len(inputs) - 1, out=at)
         x = inputs[at]
         own = x[:, STRIDE:]
-        s = np.matmul(self.query[own], self.key[x].transpose(0, 2, 1))
+        s = np.matmul(self.query.take(own, 0), self.key.take(x, 0).transpose(0, 2, 1))
         s += self.bias
         s[first, :, :STRIDE] = -1e4
         if not self.safe[0]:
             np.minimum(s, 60, out=s)
         np.exp(s, out=s)
-        seen = np.matmul(s, self.value[x])
+        seen = np.matmul(s, self.value.take(x, 0))
         seen = seen[:, :, :WIDTH] / seen[:, :, WIDTH:]
-        hidden = np.ones((own.size, HIDDEN + 1), np.float32)
-        mixed = seen.reshape(-1, WIDTH) @ self.mix
-        mixed += self.rest[own].reshape(-1, HIDDEN)
-        np.tanh(mixed, out=hidden[:, :HIDDEN])
-        logits = hidden @ self.out
+        # products block by block: in one product of all rows, rounding depends on where a row stands
+        hidden = np.ones((*own.shape, HIDDEN + 1), np.float32)
+        mixed = np.matmul(seen, self.mix)
+        mixed += self.rest.take(own, 0)
+        np.tanh(mixed, out=hidden[:, :, :HIDDEN])
+        logits = np.matmul(hidden, self.out).reshape(-1, CLASSES)
         y = targets[at[:, STRIDE:]].ravel()
         picked = logits[np.arange(len(y)), self.classes[y]]
         if not self.safe[1]:
@@ -380,6 +384,11 @@ def id_classes(feature: np.ndarray, counts: np.ndarray, seed: int = 5) -> np.nda
     return out
 
 
+def _rows(table: np.ndarray) -> np.ndarray:
+    """Each row of a table as one item, which is written at once."""
+    return table.view(np.dtype((np.void, table.itemsize * table.shape[1])))[:, 0]
+
+
 class Learner:
     """Weights with the running moments of their gradients: Adam, and Adagrad for the embeddings."""
 
@@ -400,35 +409,65 @@ class Learner:
     def step(self, windows: np.ndarray, classes: np.ndarray, pace: float) -> None:
         """One step on windows of ids, of which those below 0 are no targets."""
         w, length = self.w, 2 * STRIDE
-        i, j = np.arange(length)[:, None], np.arange(length)[None, :]
-        gap, mask = np.maximum(i - j, 0), i >= j
         live = windows[:, 1:] >= 0
         windows = np.maximum(windows, 0)
-        x, y = windows[:, :-1], classes[windows[:, 1:]]
-        e = w["embed"][x]
-        q, k, v = e @ w["query"] / np.float32(np.sqrt(WIDTH)), e @ w["key"], e @ w["value"]
-        s = np.where(mask, q @ k.transpose(0, 2, 1) + w["bias"][gap], np.float32(-1e9))
-        a = np.exp(s - s.max(2, keepdims=True))
-        a /= a.sum(2, keepdims=True)
-        o = a @ v
-        h = np.tanh(o @ w["mix"] + e @ w["rest"] + w["shift"])
-        p = h.reshape(-1, HIDDEN) @ w["out"] + w["lift"]
-        p -= p.max(1, keepdims=True)
+        x, y = windows[:, :-1].ravel(), classes[windows[:, 1:]].ravel()
+        n, wide, every = len(windows), (-1, length, WIDTH), np.arange(len(y))
+        root = np.float32(1 / np.sqrt(WIDTH))
+        e = w["embed"].take(x, 0)
+        front = e @ np.concatenate([w["query"] * root, w["key"], w["rest"]], 1)
+        q, k = front[:, :WIDTH].reshape(wide), front[:, WIDTH : 2 * WIDTH].reshape(wide)
+        # a value that is always 1 gathers the sum of the attention weights, which stay undivided
+        v = np.ones((len(x), WIDTH + 1), np.float32)
+        np.matmul(e, w["value"], out=v[:, :WIDTH])
+        v = v.reshape(n, length, WIDTH + 1)
+        a = q @ k.transpose(0, 2, 1)
+        a += np.where(_CAUSAL, w["bias"][_GAP], np.float32(-1e4))
+        own = a.diagonal(0, 1, 2)  # no row is all below its own token
+        if a.max() > 60 or own.min() < -60:  # sums that neither overflow nor vanish need no shift
+            a -= a.max(2, keepdims=True)
+        np.exp(a, out=a)
+        o = (a @ v).reshape(-1, WIDTH + 1)
+        part = 1 / o[:, WIDTH:]
+        o = o[:, :WIDTH] * part
+        # the shift of the logits is a weight of a hidden unit that is always 1
+        h = np.ones((len(x), HIDDEN + 1), np.float32)
+        mixed = o @ w["mix"]
+        mixed += front[:, 2 * WIDTH :]
+        mixed += w["shift"]
+        hidden = np.tanh(mixed, out=mixed)
+        h[:, :HIDDEN] = hidden
+        last = np.concatenate([w["out"], w["lift"][None, :]])
+        p = h @ last
+        if np.abs(last).sum(0).max() > 80:
+            p -= p.max(1, keepdims=True)
         np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(y.size), y.ravel()] -= 1
-        p *= (live.ravel() / np.float32(live.sum()))[:, None].astype(np.float32)
-        dh = (p @ w["out"].T).reshape(h.shape) * (1 - h * h)
-        do = dh @ w["mix"].T
-        da = do @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(2, keepdims=True))
-        dq, dk, dv = ds @ k / np.float32(np.sqrt(WIDTH)), ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do
-        flat = e.reshape(-1, WIDTH)
-        de = dq @ w["query"].T + dk @ w["key"].T + dv @ w["value"].T + dh @ w["rest"].T
+        total = p @ np.ones(CLASSES, np.float32)
+        p[every, y] -= total
+        # rows of p are divided where they have fewer columns
+        each = (live.ravel() / (total * np.float32(live.sum())))[:, None].astype(np.float32)
+        d = np.empty((len(x), 3 * WIDTH + HIDDEN), np.float32)
+        dq, dk, dv, dh = (d[:, i : i + m] for i, m in ((0, WIDTH), (WIDTH, WIDTH), (2 * WIDTH, WIDTH), (3 * WIDTH, HIDDEN)))
+        np.multiply(p @ w["out"].T, each, out=dh)
+        dh *= 1 - hidden * hidden
+        h *= each
+        out = h.T @ p
+        do = np.empty((len(x), WIDTH + 1), np.float32)
+        np.matmul(dh, w["mix"].T, out=do[:, :WIDTH])
+        # what a row of attention weights gets on average is do * o
+        do[:, WIDTH] = -np.einsum("ij,ij->i", do[:, :WIDTH], o)
+        do *= part
+        do = do.reshape(n, length, WIDTH + 1)
+        dv[:] = (a.transpose(0, 2, 1) @ do[:, :, :WIDTH]).reshape(-1, WIDTH)
+        ds = do @ v.transpose(0, 2, 1)
+        ds *= a
+        np.multiply((ds @ k).reshape(-1, WIDTH), root, out=dq)
+        dk[:] = (ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
+        de = d @ np.concatenate([w["query"], w["key"], w["value"], w["rest"]], 1).T
+        back = e.T @ d
         g = {
-            "query": flat.T @ dq.reshape(-1, WIDTH), "key": flat.T @ dk.reshape(-1, WIDTH), "value": flat.T @ dv.reshape(-1, WIDTH), "mix": o.reshape(-1, WIDTH).T @ dh.reshape(-1, HIDDEN),
-            "rest": flat.T @ dh.reshape(-1, HIDDEN), "shift": dh.sum((0, 1)), "out": h.reshape(-1, HIDDEN).T @ p, "lift": p.sum(0),
-            "bias": np.bincount(gap[mask], ds.sum(0)[mask], length).astype(np.float32),
+            "query": back[:, :WIDTH], "key": back[:, WIDTH : 2 * WIDTH], "value": back[:, 2 * WIDTH : 3 * WIDTH], "mix": o.T @ dh, "rest": back[:, 3 * WIDTH :], "shift": dh.sum(0), "out": out[:HIDDEN], "lift": out[HIDDEN],
+            "bias": np.bincount(_GAP[_CAUSAL], ds.sum(0)[_CAUSAL], length).astype(np.float32),
         }
         self.done += 1
         pace = np.float32(pace)
@@ -437,11 +476,13 @@ class Learner:
             m += 0.1 * (grad - m)
             u += 0.01 * (grad * grad - u)
             w[name] -= pace * (m / (1 - 0.9**self.done)) / (np.sqrt(u / (1 - 0.99**self.done)) + 1e-7)
-        seen, where = np.unique(x, return_inverse=True)
-        grad = np.zeros((len(seen), WIDTH), np.float32)
-        np.add.at(grad, where.ravel(), de.reshape(-1, WIDTH))
-        self.met[seen] += grad * grad
-        w["embed"][seen] -= np.float32(5) * pace * grad / (np.sqrt(self.met[seen]) + 1e-7)
+        order = np.argsort(x, kind="stable")
+        x = x[order]
+        first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        seen, grad = x[first], np.add.reduceat(de[order], first, axis=0)
+        met = self.met.take(seen, 0) + grad * grad
+        _rows(self.met)[seen] = _rows(met)
+        _rows(w["embed"])[seen] = _rows(w["embed"].take(seen, 0) - np.float32(5) * pace * grad / (np.sqrt(met) + np.float32(1e-7)))
 
     def learn(self, windows: np.ndarray, classes: np.ndarray, passes: int, batch: int = STEP_WINDOWS, rate: float = PACE, fall: bool = True) -> None:
         """Passes over windows in a drawn order; the pace falls to its slowest part, or is that from the start."""
